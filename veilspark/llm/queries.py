@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import op1_tokens, op6_bpe, op7_mix
+from . import op1_tokens, op2_jaccard, op4_quality, op5_langid, op6_bpe, op7_mix, op8_lines
 from .common import table
 
 
@@ -23,5 +23,23 @@ def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "copies")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op6_byte_bpe, op7_source_mix)}
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op2_jaccard.link(table(spark, sf_dir, "documents"))
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return op4_quality.judge(docs, op4_quality.learn(docs, table(spark, sf_dir, "labels")))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return op5_langid.identify(docs, op5_langid.learn(docs))
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op8_lines.dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_ngram_jaccard, op4_quality_rules, op5_language_id, op6_byte_bpe, op7_source_mix, op8_line_dedup)}
 ORACLES: dict[str, str] = {}
