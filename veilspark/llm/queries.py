@@ -6,9 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import op1_tokens, op2_jaccard, op4_quality, op5_langid, op6_bpe, op7_mix, op8_lines, op10_suffix_tree
+from . import op1_tokens, op2_jaccard, op3_surrogates, op4_quality, op5_langid, op6_bpe, op7_mix, op8_lines, op10_suffix_tree
 from .common import table
 
+#: Stands for a key that a deployment takes from its own store.
+SECRET = "veilspark-demo-key"
+
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op1_tokens.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
@@ -27,6 +30,10 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op2_jaccard.link(table(spark, sf_dir, "documents"))
 
 
+def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op3_surrogates.replace(table(spark, sf_dir, "documents"), SECRET).select("doc_id", "n_entities", "text")
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return op4_quality.judge(docs, op4_quality.learn(docs, table(spark, sf_dir, "labels")))
@@ -45,5 +52,5 @@ def op10_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_suffix_tree.score(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_ngram_jaccard, op4_quality_rules, op5_language_id, op6_byte_bpe, op7_source_mix, op8_line_dedup, op10_suffix_tree_scores)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_ngram_jaccard, op3_pii_surrogates, op4_quality_rules, op5_language_id, op6_byte_bpe, op7_source_mix, op8_line_dedup, op10_suffix_tree_scores)}
 ORACLES: dict[str, str] = {}
