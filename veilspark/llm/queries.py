@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import op1_tokens, op2_jaccard, op3_surrogates, op4_quality, op5_langid, op6_bpe, op7_mix, op8_lines, op10_suffix_tree
+from . import op1_tokens, op2_jaccard, op3_surrogates, op4_quality, op5_langid, op6_bpe, op7_mix, op8_lines, op9_vectors, op10_suffix_tree
 from .common import table
 
 #: Stands for a key that a deployment takes from its own store.
@@ -48,9 +48,13 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op8_lines.dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
 
 
+def op9_vector_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op9_vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op10_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_suffix_tree.score(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_ngram_jaccard, op3_pii_surrogates, op4_quality_rules, op5_language_id, op6_byte_bpe, op7_source_mix, op8_line_dedup, op10_suffix_tree_scores)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_ngram_jaccard, op3_pii_surrogates, op4_quality_rules, op5_language_id, op6_byte_bpe, op7_source_mix, op8_line_dedup, op9_vector_near_dedup, op10_suffix_tree_scores)}
 ORACLES: dict[str, str] = {}
