@@ -11,6 +11,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 #: Most frequent n-grams of a profile and of a document that are compared.
 TOP = 300
@@ -130,3 +131,22 @@ def identify(docs: DataFrame, profiles: dict[str, np.ndarray], id_col: str = "do
     return docs.select(F.col(id_col).alias("doc_id"), held.alias("held_out"), F.col(text_col).cast("string").alias("text")).mapInArrow(
         _predict(profiles), f"doc_id {kind}, held_out boolean, lang_pred string, score double"
     )
+
+
+def _append(profiles: dict[str, np.ndarray], text_at: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one = Identifier(profiles)
+        for b in batches:
+            got = [one.predict(t.as_py()) for t in b.column(text_at)]
+            columns = [*b.columns, pa.array([x for x, _ in got], pa.string()), pa.array([x for _, x in got], pa.float64())]
+            yield pa.record_batch(columns, [*b.schema.names, "_lang_pred", "_lang_score"])
+
+    return run
+
+
+def accepted(docs: DataFrame, profiles: dict[str, np.ndarray], least: float, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose text has a language with a score of ``least`` or more; all columns, no shuffle."""
+    schema = docs.schema
+    out = StructType([*schema.fields, StructField("_lang_pred", StringType()), StructField("_lang_score", DoubleType())])
+    named = docs.mapInArrow(_append(profiles, schema.names.index(text_col)), out)
+    return named.filter((F.col("_lang_pred") != UNKNOWN) & (F.col("_lang_score") >= least)).drop("_lang_pred", "_lang_score")
