@@ -14,54 +14,59 @@ WINDOW_CHARS = 160
 _BLANK = " \t\r\x0b\x0c"
 
 
-def _lines() -> Column:
-    return F.transform(F.split("text", "\n"), lambda x: F.btrim(x, F.lit(_BLANK)))
+def let(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once, wherever the optimizer moves the expression."""
+    return F.transform(F.array(value), use)[0]
 
 
-def _span(i: Column, chars: int) -> Column:
+def _span(units: Column, i: Column, chars: int) -> Column:
     """How many lines from ``i`` on have ``chars`` characters together; null where the text ends before.  Every line has one or more."""
     reached = F.aggregate(
-        F.slice(F.col("len"), i + 1, F.lit(chars)),
+        F.slice(units, i + 1, F.lit(chars)),
         F.struct(F.lit(0).alias("s"), F.lit(0).alias("c")),
-        lambda a, x: F.when(a["s"] >= chars, a).otherwise(F.struct((a["s"] + x).alias("s"), (a["c"] + 1).alias("c"))),
+        lambda a, x: F.when(a["s"] >= chars, a).otherwise(F.struct((a["s"] + x["len"]).alias("s"), (a["c"] + 1).alias("c"))),
+        lambda a: F.when(a["s"] >= chars, a["c"]),
     )
-    return F.when(F.get(F.col("len"), i) >= chars, F.lit(1)).otherwise(F.transform(F.array(reached), lambda a: F.when(a["s"] >= chars, a["c"]))[0])
+    return F.when(F.get(units, i)["len"] >= chars, F.lit(1)).otherwise(reached)
 
 
 def line_arrays(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(doc, key, pos, h, len)``: for the lines that are not blank, their places in the text, hashes and lengths.
+    """``(doc, key, units)``: of the lines that are not blank, their places in the text, hashes and lengths.
 
     ``key`` tells texts of one id apart; rows with the same id and text are one document here.
     """
     d = docs.select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("text")).filter("doc is not null and text is not null")
-    d = d.select("doc", F.xxhash64("text").alias("key"), _lines().alias("lines"))
-    d = d.withColumn("pos", F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: F.get(F.col("lines"), i) != ""))
-    d = d.select("doc", "key", "pos", F.transform("pos", lambda i: F.get(F.col("lines"), i)).alias("kept")).filter(F.size("kept") > 0)
-    d = d.select("doc", "key", "pos", F.transform("kept", lambda x: F.xxhash64(x)).alias("h"), F.transform("kept", F.length).alias("len"))
-    return d.dropDuplicates(["doc", "key"])
+    lines = F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("pos"), F.btrim(x, F.lit(_BLANK)).alias("s")))
+    units = F.transform(F.filter(lines, lambda r: r["s"] != ""), lambda r: F.struct(r["pos"].alias("pos"), F.xxhash64(r["s"]).alias("h"), F.length(r["s"]).alias("len")))
+    return d.select("doc", F.xxhash64("text").alias("key"), units.alias("units")).dropDuplicates(["doc", "key"])
 
 
 def fingerprints(arrays: DataFrame, gram_chars: int = GRAM_CHARS, window_chars: int = WINDOW_CHARS) -> DataFrame:
     """``(doc, key, f, at)``: of every window, the gram with the least hash, once."""
-    n = F.size("h")
-    every = F.sequence(F.lit(0), n - 1)
-    d = arrays.withColumn("g", F.transform(every, lambda i: _span(i, gram_chars))).withColumn("w", F.transform(every, lambda i: _span(i, window_chars)))
-    d = d.withColumn(
-        "gram",
-        F.transform(
-            every,
-            lambda i: F.when(F.get(F.col("g"), i).isNotNull(), F.struct(F.when(F.get(F.col("g"), i) == 1, F.get(F.col("h"), i)).otherwise(F.xxhash64(F.slice(F.col("h"), i + 1, F.get(F.col("g"), i)))).alias("f"), i.alias("at"))),
-        ),
-    )
-    inside = lambda i: F.filter(
-        F.sequence(i, i + F.get(F.col("w"), i) - 1), lambda j: F.get(F.col("g"), j).isNotNull() & (j + F.get(F.col("g"), j) <= i + F.get(F.col("w"), i))
-    )
-    least = lambda i: F.when(F.get(F.col("w"), i) == 1, F.get(F.col("gram"), i)).otherwise(
-        F.array_min(F.transform(inside(i), lambda j: F.get(F.col("gram"), j)))
-    )
-    d = d.withColumn("picked", F.transform(every, lambda i: F.when(F.get(F.col("w"), i).isNotNull(), least(i))))
-    picked = F.array_distinct(F.filter("picked", lambda x: x.isNotNull()))
-    return d.select("doc", "key", F.inline(picked)).select("doc", "key", "f", "at")
+
+    def grams(units: Column) -> Column:
+        """For each line the gram that starts there, ``(f, at, end)``, and how many lines its window has; nulls past the last."""
+
+        def one(u: Column, i: Column) -> Column:
+            return let(
+                _span(units, i, gram_chars),
+                lambda g: F.struct(
+                    F.when(g == 1, u["h"]).when(g > 1, F.xxhash64(F.transform(F.slice(units, i + 1, g), lambda x: x["h"]))).alias("f"),
+                    i.alias("at"), (i + g).alias("end"), _span(units, i, window_chars).alias("w"),
+                ),
+            )
+
+        return F.transform(units, one)
+
+    def picked(gs: Column) -> Column:
+        def least(g: Column, i: Column) -> Column:
+            inside = F.filter(F.slice(gs, i + 1, g["w"]), lambda x: x["end"] <= i + g["w"])
+            some = F.array_min(F.transform(inside, lambda x: F.struct(x["f"].alias("f"), x["at"].alias("at"))))
+            return F.when(g["w"] == 1, F.struct(g["f"].alias("f"), g["at"].alias("at"))).when(g["w"] > 1, some)
+
+        return F.array_distinct(F.filter(F.transform(gs, least), lambda x: x.isNotNull()))
+
+    return arrays.select("doc", "key", F.inline(let(grams(F.col("units")), picked)))
 
 
 def repeated_runs(arrays: DataFrame, gram_chars: int = GRAM_CHARS, window_chars: int = WINDOW_CHARS) -> DataFrame:
@@ -71,23 +76,32 @@ def repeated_runs(arrays: DataFrame, gram_chars: int = GRAM_CHARS, window_chars:
     not one a pair.  Along each alignment found, equal lines are extended both ways as far as they go; runs with ``gram_chars``
     characters or more are deleted.  The first occurrence of a line is never deleted, as what it is aligned to is earlier still.
     """
-    fps = fingerprints(arrays, gram_chars, window_chars)
+    fps = cut(fingerprints(arrays, gram_chars, window_chars))
     first = fps.groupBy("f").agg(F.min(F.struct("doc", "key", "at")).alias("a"), F.count("*").alias("n")).filter("n > 1").select("f", "a")
     hits = fps.join(first, "f").filter(F.struct("doc", "key", "at") > F.col("a"))
     pairs = hits.select("doc", "key", F.col("a.doc").alias("doc0"), F.col("a.key").alias("key0"), (F.col("at") - F.col("a.at")).alias("shift"))
     pairs = cut(pairs.distinct())
     left = pairs.join(arrays, ["doc", "key"])
-    first_arrays = arrays.select(F.col("doc").alias("doc0"), F.col("key").alias("key0"), F.col("h").alias("h0"))
-    both = left.join(first_arrays, ["doc0", "key0"])
-    n = F.size("h")
-    differ = F.filter(F.sequence(F.lit(0), n - 1), lambda i: ~F.coalesce(F.when(i >= F.col("shift"), F.get(F.col("h"), i) == F.get(F.col("h0"), i - F.col("shift"))), F.lit(False)))
-    both = both.withColumn("stop", F.concat(F.array(F.lit(-1)), differ, F.array(n)))
-    runs = F.transform(F.sequence(F.lit(0), F.size("stop") - 2), lambda k: F.struct((F.get(F.col("stop"), k) + 1).alias("s"), (F.get(F.col("stop"), k + 1) - 1).alias("e")))
-    chars = lambda r: F.aggregate(F.slice(F.col("len"), r["s"] + 1, r["e"] - r["s"] + 1), F.lit(0), lambda a, x: a + x)
-    both = both.withColumn("runs", F.filter(runs, lambda r: r["e"] >= r["s"])).withColumn("runs", F.filter("runs", lambda r: chars(r) >= gram_chars))
-    gone = both.select("doc", "key", F.flatten(F.transform("runs", lambda r: F.slice(F.col("pos"), r["s"] + 1, r["e"] - r["s"] + 1))).alias("gone")).filter(F.size("gone") > 0)
-    # a document has at most as many alignments as fingerprints, so what meets here is bounded by its own length
-    return gone.groupBy("doc", "key").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
+    both = left.join(arrays.select(F.col("doc").alias("doc0"), F.col("key").alias("key0"), F.col("units").alias("units0")), ["doc0", "key0"])
+    units, shift = F.col("units"), F.col("shift")
+    # of the lines that are aligned, those that differ end a run; so do the ends of the texts
+    equal = F.transform(
+        units, lambda u, i: F.when((i >= shift) & (i - shift < F.size("units0")), u["h"] == F.get(F.col("units0"), i - shift)["h"]).otherwise(F.lit(False))
+    )
+
+    def runs(same: Column) -> Column:
+        stops = F.concat(F.array(F.lit(-1)), F.filter(F.transform(same, lambda e, i: F.when(e, F.lit(-1)).otherwise(i)), lambda i: i >= 0), F.array(F.size(same)))
+        return let(
+            stops,
+            lambda st: F.filter(
+                F.transform(F.slice(st, F.lit(1), F.size(st) - 1), lambda s, k: F.slice(units, s + 2, F.get(st, k + 1) - s - 1)),
+                lambda r: F.aggregate(r, F.lit(0), lambda a, x: a + x["len"]) >= gram_chars,
+            ),
+        )
+
+    gone = both.select("doc", "key", F.explode(F.flatten(let(equal, runs))).alias("u"))
+    # a document has no more lines than its own here, whatever the number of its alignments
+    return gone.groupBy("doc", "key").agg(F.collect_set("u.pos").alias("gone"))
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gram_chars: int = GRAM_CHARS, window_chars: int = WINDOW_CHARS) -> DataFrame:
