@@ -18,7 +18,7 @@ _B, _E = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
 EMAIL = r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@[A-Za-z0-9\-]++(?:\.[A-Za-z0-9\-]++)*(?<=\.[A-Za-z]{2,24})"
 IP = r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\d|\.\d)"
 KEY_ID = _B + r"(?:AKIA|ASIA)[A-Z0-9]{16}" + _E
-SECRET = _B + r"(?i:password|passwd|pwd|secret|token|api[_\-]?key|access[_\-]?key)\s?[=:]\s?(?:\"[^\"\s]{6,}\"|'[^'\s]{6,}'|[^\s\"',;]{6,})"
+SECRET = _B + r"(?i:password|passwd|pwd|secret|token|api[_\-]?key|access[_\-]?key)\s?[=:]\s?(?:\"[^\"\s]{6,}\"|'[^'\s]{6,}'|[^\s\"',;]{5,}[^\s\"',;.:!?)\]*#$%&])"
 PHONE = r"(?<![\w+])(?:\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)|\d{1,4})[ .\-]?\d{2,4}[ .\-]?\d{2,4}(?:[ .\-]\d{2}(?![\d.]))*|\(\d{3}\) ?\d{3}[\-.]\d{4}|\d{3}-\d{3}-\d{4})(?!\d)"
 CARD = r"(?<![\d])(?:\d{4}([ \-])\d{4}\1\d{4}\1\d{4}|\d{13,19})(?!\d)"
 IBAN = _B + r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?" + _E

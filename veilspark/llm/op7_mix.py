@@ -157,6 +157,6 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 def mix_rows(docs: DataFrame, id_col: str = "doc_id", **kw) -> DataFrame:
     """``docs`` with every row repeated as often as the mix takes it; ids must be unique and not null."""
-    plan = mix(docs, id_col, **kw).filter("copies > 0").select(F.col("doc_id").alias("_mix_id"), "copies")
-    out = docs.join(plan, docs[id_col] == plan["_mix_id"]).withColumn("_mix_at", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    plan = mix(docs, id_col, **kw).filter("copies > 0").select(F.col("doc_id").alias("_mix_id"), F.col("copies").alias("_mix_copies"))
+    out = docs.join(plan, docs[id_col] == plan["_mix_id"]).withColumn("_mix_at", F.explode(F.sequence(F.lit(1), F.col("_mix_copies"))))
     return out.select(*docs.columns)
