@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, let
 
 # Titles with the gender they tell, and what introduces a name.
 MALE_TITLES = ("Mr", "Herr", "Monsieur", "Señor", "Sr", "господин", "Господин")
@@ -28,12 +28,26 @@ PERSON = _B + "(?:" + "|".join((*MALE_TITLES, *FEMALE_TITLES, *OTHER_TITLES)) +
 #: Types in the order in which they are tried at a place.
 TYPES = {"email": EMAIL, "secret": SECRET, "key_id": KEY_ID, "ip": IP, "phone": PHONE, "iban": IBAN, "ssn": SSN, "card": CARD.replace(r"\1", r"\k<sep>").replace(r"([ \-])", r"(?<sep>[ \-])"), "person": PERSON}
 ANY = "|".join(f"(?:{p})" for p in TYPES.values())
+#: Every match holds a digit, an at sign or one of these words; looking for them first is far cheaper than the patterns.
+WORDS_FIRST = (*MALE_TITLES, *FEMALE_TITLES, *OTHER_TITLES, "AKIA", "ASIA")
+SECRET_WORDS = ("passw", "pwd", "secret", "token", "api", "access")
 #: Stands around what was found; texts' own are put aside first.
 MARK, OWN = "\x01", ""
 #: Rounds of choosing anew where a surrogate is taken.
 ROUNDS = 20
 
 
+def may_hold(text: Column) -> Column:
+    """Whether ``text`` can have a match at all; null for null."""
+    plain = reduce(lambda a, w: a | F.contains(text, F.lit(w)), WORDS_FIRST, text.rlike("[0-9@]"))
+    lower = F.lower(text)
+    return plain | ((F.contains(text, F.lit("=")) | F.contains(text, F.lit(":"))) & reduce(lambda a, b: a | b, [F.contains(lower, F.lit(w)) for w in SECRET_WORDS]))
+
+
+def hit(text: Column) -> Column:
+    return F.coalesce(F.when(may_hold(text), text.rlike(ANY)), F.lit(False))
+
+
 def _hash(seed: Column, i: Column) -> Column:
     return F.xxhash64(seed, i)
 
@@ -95,7 +109,7 @@ def _name(seed: Column, gender: Column, family: Column, cyrillic: Column) -> Col
 
 def found(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``(doc, key, parts)``: for texts with something found, their pieces; every second one was found."""
-    d = docs.select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("text")).filter(F.col("text").rlike(ANY))
+    d = docs.select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("text")).filter(hit(F.col("text")))
     marked = F.regexp_replace(F.translate("text", MARK, OWN), ANY, f"{MARK}$0{MARK}")
     return d.select("doc", F.xxhash64("text").alias("key"), F.split(marked, MARK, -1).alias("parts"))
 
@@ -137,20 +151,23 @@ def surrogates(values: DataFrame, secret: str) -> DataFrame:
     for _ in range(ROUNDS):
         seed = F.sha2(F.concat_ws("\x00", F.lit(secret), F.col("type"), norm, F.col("try").cast("string")), 256)
         first = F.substr(norm, F.lit(1), F.lit(1))
-        body = _digits(seed, F.length(norm) - 1, first)
         domain = F.concat(F.lit("d"), F.substr(F.sha2(F.concat_ws("\x00", F.lit(secret), F.substring_index(norm, "@", -1)), 256), F.lit(1), F.lit(8)), F.lit(".example.org"))
-        octet = lambda i: (F.pmod(_hash(seed, F.lit(i)), F.lit(254)) + 1).cast("string")
         cyrillic = norm.rlike("[\\u0400-\\u04FF]")
-        made = (
-            F.when(F.col("type") == "email", F.concat(_alike(seed, F.substring_index(norm, "@", 1)), F.lit("@"), domain))
-            .when(F.col("type") == "card", F.concat(body, luhn_digit(body)))
-            .when(F.col("type").isin("phone", "ssn"), _digits(seed, F.length(norm), first))
-            .when(F.col("type") == "ip", F.concat_ws(".", octet(1), octet(2), octet(3), octet(4)))
-            .when(F.col("type").isin("key_id", "iban"), F.concat(F.substr(norm, F.lit(1), F.when(F.col("type") == "iban", 2).otherwise(4)), _alike(seed, F.expr("substring(norm, if(type = 'iban', 3, 5))"))))
-            .when(F.col("type").isin("person", "family"), _name(seed, F.col("gender"), F.col("type") == "family", cyrillic))
-            .otherwise(_alike(seed, norm))
-        )
-        state = state.withColumn("made", F.coalesce("made", made))
+
+        def candidate(seed: Column) -> Column:
+            octet = lambda i: (F.pmod(_hash(seed, F.lit(i)), F.lit(254)) + 1).cast("string")
+            return (
+                F.when(F.col("type") == "email", F.concat(_alike(seed, F.substring_index(norm, "@", 1)), F.lit("@"), domain))
+                .when(F.col("type") == "card", let(_digits(seed, F.length(norm) - 1, first), lambda body: F.concat(body, luhn_digit(body))))
+                .when(F.col("type").isin("phone", "ssn"), _digits(seed, F.length(norm), first))
+                .when(F.col("type") == "ip", F.concat_ws(".", octet(1), octet(2), octet(3), octet(4)))
+                .when(F.col("type").isin("key_id", "iban"), F.concat(F.substr(norm, F.lit(1), F.when(F.col("type") == "iban", 2).otherwise(4)), _alike(seed, F.expr("substring(norm, if(type = 'iban', 3, 5))"))))
+                .when(F.col("type").isin("person", "family"), _name(seed, F.col("gender"), F.col("type") == "family", cyrillic))
+                .otherwise(_alike(seed, norm))
+            )
+
+        # written before it is compared, so that no later step computes it again
+        state = cut(state.withColumn("made", F.coalesce("made", let(seed, candidate))))
         # fixed choices come first, then earlier tries, then order; so what was fixed stays
         key = F.when(F.col("type").isin("person", "family", "email"), F.lower("made")).otherwise(F.col("made"))
         rank = F.row_number().over(Window.partitionBy("type", key).orderBy("try", "norm", "gender"))
@@ -194,8 +211,8 @@ def replace(docs: DataFrame, secret: str, id_col: str = "doc_id", text_col: str
     swaps = one.groupBy("doc", "key").agg(F.map_from_entries(F.collect_list(F.struct("at", new.alias("new")))).alias("swap"))
     whole = F.translate(F.array_join(F.transform("parts", lambda p, i: F.coalesce(F.col("swap")[i], p)), ""), OWN, MARK)
     texts = pieces.join(swaps, ["doc", "key"]).select(F.col("doc").alias("_doc"), F.col("key").alias("_key"), whole.alias("_text"), F.size("swap").cast("long").alias("_n"))
-    hit = F.coalesce(F.col(text_col).cast("string").rlike(ANY), F.lit(False)) & F.col(id_col).isNotNull()
-    same = docs.filter(~hit).withColumn("n_entities", F.lit(0).cast("long"))
-    changed = docs.filter(hit).join(texts, (F.col(id_col) == F.col("_doc")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("_key")), "left")
+    found_in = hit(F.col(text_col).cast("string")) & F.col(id_col).isNotNull()
+    same = docs.filter(~found_in).withColumn("n_entities", F.lit(0).cast("long"))
+    changed = docs.filter(found_in).join(texts, (F.col(id_col) == F.col("_doc")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("_key")), "left")
     changed = changed.withColumn(text_col, F.coalesce("_text", F.col(text_col))).withColumn("n_entities", F.coalesce("_n", F.lit(0).cast("long"))).drop("_doc", "_key", "_text", "_n")
     return same.unionByName(changed)

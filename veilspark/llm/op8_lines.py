@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, let
 
 #: A gram is the shortest run of lines from a line on with this many characters; no shorter match is deleted.
 GRAM_CHARS = 60
@@ -14,11 +14,6 @@ WINDOW_CHARS = 160
 _BLANK = " \t\r\x0b\x0c"
 
 
-def let(value: Column, use) -> Column:
-    """``use(value)`` with ``value`` computed once, wherever the optimizer moves the expression."""
-    return F.transform(F.array(value), use)[0]
-
-
 def _span(units: Column, i: Column, chars: int) -> Column:
     """How many lines from ``i`` on have ``chars`` characters together; null where the text ends before.  Every line has one or more."""
     reached = F.aggregate(
