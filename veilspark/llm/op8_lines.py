@@ -37,7 +37,11 @@ def line_arrays(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def fingerprints(arrays: DataFrame, gram_chars: int = GRAM_CHARS, window_chars: int = WINDOW_CHARS) -> DataFrame:
-    """``(doc, key, f, at)``: of every window, the gram with the least hash, once."""
+    """``(doc, key, f, at)``: of every window the gram with the least hash, and of windows of several lines their own hash too.
+
+    The first place of a gram can have other lines around it than the first place of the window it stands for; with both, a window
+    that occurs again is aligned to its own first place, and so found whole.
+    """
 
     def grams(units: Column) -> Column:
         """For each line the gram that starts there, ``(f, at, end)``, and how many lines its window has; nulls past the last."""
@@ -54,12 +58,15 @@ def fingerprints(arrays: DataFrame, gram_chars: int = GRAM_CHARS, window_chars:
         return F.transform(units, one)
 
     def picked(gs: Column) -> Column:
-        def least(g: Column, i: Column) -> Column:
+        units = F.col("units")
+
+        def of_window(g: Column, i: Column) -> Column:
             inside = F.filter(F.slice(gs, i + 1, g["w"]), lambda x: x["end"] <= i + g["w"])
-            some = F.array_min(F.transform(inside, lambda x: F.struct(x["f"].alias("f"), x["at"].alias("at"))))
-            return F.when(g["w"] == 1, F.struct(g["f"].alias("f"), g["at"].alias("at"))).when(g["w"] > 1, some)
+            least = F.array_min(F.transform(inside, lambda x: F.struct(x["f"].alias("f"), x["at"].alias("at"))))
+            whole = F.struct(F.xxhash64(F.transform(F.slice(units, i + 1, g["w"]), lambda x: x["h"])).alias("f"), i.alias("at"))
+            return F.when(g["w"] == 1, F.array(F.struct(g["f"].alias("f"), g["at"].alias("at")))).when(g["w"] > 1, F.array(least, whole)).otherwise(F.array().cast("array<struct<f:bigint,at:int>>"))
 
-        return F.array_distinct(F.filter(F.transform(gs, least), lambda x: x.isNotNull()))
+        return F.array_distinct(F.flatten(F.transform(gs, of_window)))
 
     return arrays.select("doc", "key", F.inline(let(grams(F.col("units")), picked)))
 
