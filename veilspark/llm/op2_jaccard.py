@@ -207,11 +207,22 @@ def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([t.column(0).take(pa.array(keep, pa.int64())), t.column(1).take(pa.array(keep, pa.int64()))], ["a", "b"])
 
 
-def _tile(t: pa.Table) -> pa.Table:
+def _tiles_of(t: pa.Table) -> pa.Table:
+    """The tiles of a bucket, one after the other; each has two blocks of rows at most."""
+    tile = t.column("tile").to_numpy()
+    order = np.argsort(tile, kind="stable")
+    side, n, label, sig = (t.column(c).to_numpy()[order] for c in ("side", "n", "label", "sig"))
+    bits = np.frombuffer(b"".join(t.column("bits").to_pylist()), np.uint64).reshape(len(n), -1)[order]
+    first = np.flatnonzero(np.diff(tile[order], prepend=tile[order][:1] - 1))
+    found = [_tile(side[a:z], n[a:z], label[a:z], sig[a:z], bits[a:z]) for a, z in zip(first, np.append(first[1:], len(n))) if z > a + 1]
+    a = np.concatenate([x for x, _ in found]) if found else np.empty(0, np.int64)
+    b = np.concatenate([x for _, x in found]) if found else np.empty(0, np.int64)
+    pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
+    return pa.table({"a": pairs[:, 0].copy(), "b": pairs[:, 1].copy()})
+
+
+def _tile(side: np.ndarray, n: np.ndarray, label: np.ndarray, sig: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of a tile's two blocks that sizes and bit counts leave, from different components."""
-    side = t.column("side").to_numpy()
-    n, label, sig = t.column("n").to_numpy(), t.column("label").to_numpy(), t.column("sig").to_numpy()
-    bits = np.frombuffer(b"".join(t.column("bits").to_pylist()), np.uint64).reshape(len(n), -1)
     left = np.flatnonzero(side != 1)
     right = np.flatnonzero(side != 0)
     a_out, b_out = [], []
@@ -227,9 +238,7 @@ def _tile(t: pa.Table) -> pa.Table:
         ok = ok[(n[i] - only_i >= need) & (n[ok] - only_j >= need)]
         a_out.append(np.full(len(ok), sig[i]))
         b_out.append(sig[ok])
-    a = np.concatenate(a_out) if a_out else np.empty(0, np.int64)
-    b = np.concatenate(b_out) if b_out else np.empty(0, np.int64)
-    return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+    return (np.concatenate(a_out), np.concatenate(b_out)) if a_out else (sig[:0], sig[:0])
 
 
 def _pick(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -281,7 +290,11 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     label = components(edges)
     labelled = shared.join(label, shared["sig"] == label["node"], "left").select("h", "sig", F.coalesce("component", "sig").alias("label"))
     labelled = cut(labelled)
-    mixed_h = labelled.groupBy("h").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("h")
+    # shingles shared by the very same sets would give the same pairs: one of them stands for all
+    members = labelled.groupBy("h").agg(
+        F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("k"), F.bit_xor(F.xxhash64("sig")).alias("m1"), F.bit_xor(F.xxhash64("sig", F.lit(1))).alias("m2")
+    )
+    mixed_h = members.filter("x < y").groupBy("k", "m1", "m2").agg(F.min("h").alias("h")).select("h")
     open_rows = cut(labelled.join(mixed_h, "h").join(sets.select("sig", "doc", "n"), "sig").select("h", "sig", "label", "doc", "n"))
     more = _tiles(docs, open_rows, sets, id_col, text_col)
     final = components(edges.union(more))
@@ -319,5 +332,8 @@ def _tiles(docs: DataFrame, open_rows: DataFrame, sets: DataFrame, id_col: str,
     above = F.when(F.col("nb_up").isNotNull(), F.transform(F.sequence(F.lit(0), F.col("nb_up") - 1), lambda k: cell(F.col("band"), 1, F.col("blk"), k, F.lit(0)))).otherwise(none)
     below = F.when(F.col("nb_down").isNotNull(), F.transform(F.sequence(F.lit(0), F.col("nb_down") - 1), lambda k: cell(F.col("band") - 1, 1, k, F.col("blk"), F.lit(1)))).otherwise(none)
     cells = with_own.select("h", "sig", "label", "n", F.inline(F.concat(own, above, below)))
-    tiles = cells.join(bits, "sig").groupBy("h", "band", "other", "i", "j").applyInArrow(_tile, "a long, b long")
+    cells = cells.select("sig", "label", "n", "side", F.xxhash64("h", "band", "other", "i", "j").alias("tile")).join(bits, "sig")
+    # whole tiles are dealt to as many buckets as the rows need, so a task holds a bounded number of rows
+    buckets = max(16, open_rows.count() // 5_000)
+    tiles = cells.groupBy(F.pmod("tile", F.lit(buckets)).alias("bucket")).applyInArrow(_tiles_of, "a long, b long")
     return cut(_linked(docs, sets, cut(tiles.distinct()), id_col, text_col))
