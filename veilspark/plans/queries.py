@@ -5,7 +5,7 @@ Their texts are the documents and, as those hold no Cyrillic, a record for each
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
@@ -95,6 +95,11 @@ SPANS = {
 }
 
 
+def _each(df: DataFrame, array: Column, name: str = "x") -> DataFrame:
+    """``doc_id`` and a row for each element.  The outer form keeps the optimizer from computing a long expression again to test for emptiness."""
+    return df.select("doc_id", F.explode_outer(array).alias(name)).filter(F.col(name).isNotNull())
+
+
 def normalize_text(spark, sf_dir):
     return texts(spark, sf_dir).select("doc_id", normalize.normalized(F.col("text")).alias("norm"))
 
@@ -106,7 +111,7 @@ def context_scores(spark, sf_dir):
         detect._found(spans(F.col("norm"), P.EMAIL, "@"), "EMAIL", 0.6, ("regex",), 0),
         detect._found(spans(F.col("norm"), P.PHONE, D), "PHONE", 0.6, ("regex",), 1),
     )
-    d = d.select("doc_id", F.explode(F.transform(cands, lambda c: detect.scored(F.col("norm"), c))).alias("c"))
+    d = _each(d, F.transform(cands, lambda c: detect.scored(F.col("norm"), c)), "c")
     return d.select("doc_id", "c.type", "c.s", "c.e", F.round("c.score", 6).alias("score"))
 
 
@@ -283,7 +288,7 @@ def mask_documents(spark, sf_dir):
 
 
 def token_mappings(spark, sf_dir):
-    return mask.mask(texts(spark, sf_dir)).select("doc_id", F.explode("mappings").alias("m")).select("doc_id", "m.s", "m.e", "m.token", "m.original", "m.kind", "m.source")
+    return _each(mask.mask(texts(spark, sf_dir)), F.col("mappings"), "m").select("doc_id", "m.s", "m.e", "m.token", "m.original", "m.kind", "m.source")
 
 
 def detokenize_roundtrip(spark, sf_dir):
@@ -292,7 +297,7 @@ def detokenize_roundtrip(spark, sf_dir):
 
 
 def resolve_entities(spark, sf_dir):
-    d = detect.detect(texts(spark, sf_dir)).select("doc_id", F.explode("entities").alias("x"))
+    d = _each(detect.detect(texts(spark, sf_dir)), F.col("entities"))
     return d.select("doc_id", "x.type", "x.s", "x.e", F.round("x.score", 6).alias("score"), "x.text")
 
 
@@ -302,7 +307,7 @@ def residual_text(spark, sf_dir):
 
 
 def pii_kind_counts(spark, sf_dir):
-    return observe.kind_counters(mask.mask(texts(spark, sf_dir)).select(F.explode("mappings.kind").alias("kind")))
+    return observe.kind_counters(_each(mask.mask(texts(spark, sf_dir)), F.col("mappings"), "m").select("m.kind"))
 
 
 def chunk_text(spark, sf_dir):
