@@ -170,15 +170,16 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for a, z, data, offsets in groups(b.column(2), GROUP_BYTES):
             first, h = shingles(data, offsets)
+            own = np.flatnonzero(_signatures(first, h).view(np.int64) == b.column(0).slice(a, z - a).to_numpy())
             bit = (mixed(h) >> np.uint64(54)).astype(np.int64)  # 10 bits: BITS is 1024
             bits, items = [], []
-            for i in range(z - a):
+            for i in own:
                 m = np.zeros(BITS, np.uint8)
                 m[bit[first[i] : first[i + 1]]] = 1
                 bits.append(np.packbits(m).tobytes())
                 items.append(h[first[i] : first[i + 1]].tobytes())
             yield pa.record_batch(
-                [b.column(0).slice(a, z - a), b.column(1).slice(a, z - a), pa.array(np.diff(first)), pa.array(bits, pa.binary()), pa.array(items, pa.binary())],
+                [b.column(0).slice(a, z - a).take(pa.array(own)), b.column(1).slice(a, z - a).take(pa.array(own)), pa.array(np.diff(first)[own]), pa.array(bits, pa.binary()), pa.array(items, pa.binary())],
                 ["sig", "tag", "n", "bits", "items"],
             )
 
@@ -246,7 +247,8 @@ def _pick(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> Dat
     if wanted.count() <= SENT_ROWS:
         wanted = F.broadcast(wanted)
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text")).join(wanted, F.col("_id") == F.col("doc"))
-    return texts.select("sig", "tag", "text").dropDuplicates(["sig", "tag"]).mapInArrow(_sets, "sig long, tag long, n long, bits binary, items binary")
+    # rows that repeat give repeated links, which do no harm; only texts of the very set are taken
+    return texts.select("sig", "tag", "text").mapInArrow(_sets, "sig long, tag long, n long, bits binary, items binary")
 
 
 def _linked(docs: DataFrame, sets: DataFrame, pairs: DataFrame, id_col: str, text_col: str) -> DataFrame:
