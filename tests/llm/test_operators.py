@@ -368,3 +368,18 @@ def test_suffix_tree_is_a_distribution(spark):
             tail = (tail << 8) | c
         every = np.array([(s << 40) | tail for s in range(256)], np.int64)
         assert math.isclose(np.exp(op10_suffix_tree.log_chances(model, every)).sum(), 1.0, rel_tol=1e-9)
+
+
+def test_line_dedup_leaves_no_repeat(spark):
+    """Short footers after long paragraphs, repeats at a text's end, whole short texts, and trivial lines inside a run and alone."""
+    footer, mark = "Licensed under the Apache License, Version 2.0.", "}"
+    texts = [(i, f"{prose(60)}\n{footer}") for i in range(5)]
+    texts += [(10, "short text"), (11, "short text"), (12, "ab\ncd\nef"), (13, "ab\ncd\nef"), (14, "x"), (15, "x"), (16, f"x\n{prose(30)}"), (17, f"{prose(30)}\n{mark}"), (18, f"{prose(30)}\n{mark}")]
+    texts += [(20, f"{prose(30)}\nfirst shared line\n{mark}"), (21, f"{prose(30)}\nfirst shared line\n{mark}"), (22, f"{mark}\nfirst shared line")]
+    out = {r["doc_id"]: r["text"] for r in op8_lines.dedup(frame(spark, [(i, t, None, None) for i, t in texts])).collect()}
+    assert [footer in out[i] for i in range(5)] == [True] + [False] * 4
+    assert [out[i] for i in range(10, 16)] == ["short text", "", "ab\ncd\nef", "", "x", ""]
+    want = dict(texts)
+    for i in (16, 17, 18, 20):
+        assert out[i] == want[i], i
+    assert out[21] == want[21].split("\n")[0] and out[22] == mark

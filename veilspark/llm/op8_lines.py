@@ -7,10 +7,8 @@ from pyspark.sql import functions as F
 
 from .common import cut, let
 
-#: A gram is the shortest run of lines from a line on with this many characters; no shorter match is deleted.
-GRAM_CHARS = 60
-#: Every run of whole lines with this many characters that occurs again is found, whatever surrounds it.
-WINDOW_CHARS = 160
+#: Lines with fewer characters are trivial ("}", "--", "1."): they go only with their neighbours, in a repeated run that has this many.
+LEAST_CHARS = 5
 _BLANK = " \t\r\x0b\x0c"
 
 
@@ -36,86 +34,59 @@ def line_arrays(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return d.select("doc", F.xxhash64("text").alias("key"), units.alias("units")).dropDuplicates(["doc", "key"])
 
 
-def fingerprints(arrays: DataFrame, gram_chars: int = GRAM_CHARS, window_chars: int = WINDOW_CHARS) -> DataFrame:
-    """``(doc, key, f, at)``: of every window the gram with the least hash, and of windows of several lines their own hash too.
+def fingerprints(arrays: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
+    """``(doc, key, f, at, lines)``: every gram's hash, its first line's place and the places of all its lines.
 
-    The first place of a gram can have other lines around it than the first place of the window it stands for; with both, a window
-    that occurs again is aligned to its own first place, and so found whole.
+    The grams of a line are the shortest runs with ``least_chars`` characters that start at it and that end at it; for all but
+    trivial lines both are the line alone.  Each gram is the least of its own window, so none is passed over, at a text's end neither:
+    every line of a run with ``least_chars`` characters lies in one of the run's own grams.  A text with fewer is one gram, which
+    only such whole texts share.
     """
+    units = F.col("units")
 
-    def grams(units: Column) -> Column:
-        """For each line the gram that starts there, ``(f, at, end)``, and how many lines its window has; nulls past the last."""
+    def grams(back: Column) -> Column:
+        n = F.size(units)
+        ahead = F.transform(units, lambda u, i: let(_span(units, i, least_chars), lambda g: F.struct(i.alias("i"), g.alias("g"))))
+        behind = F.transform(back, lambda u, i: let(_span(back, i, least_chars), lambda g: F.struct((n - i - g).alias("i"), g.alias("g"))))
+        return F.array_distinct(F.filter(F.concat(ahead, behind), lambda x: x["g"].isNotNull()))
 
-        def one(u: Column, i: Column) -> Column:
-            return let(
-                _span(units, i, gram_chars),
-                lambda g: F.struct(
-                    F.when(g == 1, u["h"]).when(g > 1, F.xxhash64(F.transform(F.slice(units, i + 1, g), lambda x: x["h"]))).alias("f"),
-                    i.alias("at"), (i + g).alias("end"), _span(units, i, window_chars).alias("w"),
-                ),
-            )
+    def hashed(spans: Column) -> Column:
+        def one(i: Column, g: Column, salt: str = "") -> Column:
+            lines = F.slice(units, i + 1, g)
+            many = F.xxhash64(F.lit(salt), F.transform(lines, lambda x: x["h"]))
+            f = many if salt else F.when(g == 1, F.get(units, i)["h"]).otherwise(many)
+            return F.struct(f.alias("f"), F.get(units, i)["pos"].alias("at"), F.transform(lines, lambda x: x["pos"]).alias("lines"))
 
-        return F.transform(units, one)
+        whole = F.when(F.size(units) > 0, F.array(one(F.lit(0), F.size(units), "whole")))
+        return F.when(F.size(spans) > 0, F.transform(spans, lambda x: one(x["i"], x["g"]))).otherwise(whole)
 
-    def picked(gs: Column) -> Column:
-        units = F.col("units")
+    return arrays.select("doc", "key", F.inline(let(let(F.reverse(units), grams), hashed)))
 
-        def of_window(g: Column, i: Column) -> Column:
-            inside = F.filter(F.slice(gs, i + 1, g["w"]), lambda x: x["end"] <= i + g["w"])
-            least = F.array_min(F.transform(inside, lambda x: F.struct(x["f"].alias("f"), x["at"].alias("at"))))
-            whole = F.struct(F.xxhash64(F.transform(F.slice(units, i + 1, g["w"]), lambda x: x["h"])).alias("f"), i.alias("at"))
-            return F.when(g["w"] == 1, F.array(F.struct(g["f"].alias("f"), g["at"].alias("at")))).when(g["w"] > 1, F.array(least, whole)).otherwise(F.array().cast("array<struct<f:bigint,at:int>>"))
 
-        return F.array_distinct(F.flatten(F.transform(gs, of_window)))
-
-    return arrays.select("doc", "key", F.inline(let(grams(F.col("units")), picked)))
-
-
-def repeated_runs(arrays: DataFrame, gram_chars: int = GRAM_CHARS, window_chars: int = WINDOW_CHARS) -> DataFrame:
+def repeated_runs(arrays: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
     """``(doc, key, gone)``: the places of lines in runs that an earlier document, or earlier part of the text, has too.
 
-    Every fingerprint is joined to its first occurrence in (id, key, place) order, so a group of copies gives one row a member,
-    not one a pair.  Along each alignment found, equal lines are extended both ways as far as they go; runs with ``gram_chars``
-    characters or more are deleted.  The first occurrence of a line is never deleted, as what it is aligned to is earlier still.
+    Every gram is joined to its first occurrence in (id, key, place) order, so a group of copies gives one row a member,
+    not one a pair.  The first occurrence of a line is never deleted, as the same line of its gram's first occurrence is earlier still.
     """
-    fps = cut(fingerprints(arrays, gram_chars, window_chars))
-    first = fps.groupBy("f").agg(F.min(F.struct("doc", "key", "at")).alias("a"), F.count("*").alias("n")).filter("n > 1").select("f", "a")
+    fps = cut(fingerprints(arrays, least_chars))
+    # cut, so that the join's sides are dealt apart and a very common line's rows can go to several tasks
+    first = cut(fps.groupBy("f").agg(F.min(F.struct("doc", "key", "at")).alias("a"), F.count("*").alias("n")).filter("n > 1").select("f", "a"))
     hits = fps.join(first, "f").filter(F.struct("doc", "key", "at") > F.col("a"))
-    pairs = hits.select("doc", "key", F.col("a.doc").alias("doc0"), F.col("a.key").alias("key0"), (F.col("at") - F.col("a.at")).alias("shift"))
-    pairs = cut(pairs.distinct())
-    left = pairs.join(arrays, ["doc", "key"])
-    both = left.join(arrays.select(F.col("doc").alias("doc0"), F.col("key").alias("key0"), F.col("units").alias("units0")), ["doc0", "key0"])
-    units, shift = F.col("units"), F.col("shift")
-    # of the lines that are aligned, those that differ end a run; so do the ends of the texts
-    equal = F.transform(
-        units, lambda u, i: F.when((i >= shift) & (i - shift < F.size("units0")), u["h"] == F.get(F.col("units0"), i - shift)["h"]).otherwise(F.lit(False))
-    )
-
-    def runs(same: Column) -> Column:
-        stops = F.concat(F.array(F.lit(-1)), F.filter(F.transform(same, lambda e, i: F.when(e, F.lit(-1)).otherwise(i)), lambda i: i >= 0), F.array(F.size(same)))
-        return let(
-            stops,
-            lambda st: F.filter(
-                F.transform(F.slice(st, F.lit(1), F.size(st) - 1), lambda s, k: F.slice(units, s + 2, F.get(st, k + 1) - s - 1)),
-                lambda r: F.aggregate(r, F.lit(0), lambda a, x: a + x["len"]) >= gram_chars,
-            ),
-        )
-
-    gone = both.select("doc", "key", F.explode(F.flatten(let(equal, runs))).alias("u"))
-    # a document has no more lines than its own here, whatever the number of its alignments
-    return gone.groupBy("doc", "key").agg(F.collect_set("u.pos").alias("gone"))
+    # a document has no more lines than its own here, whatever the number of its grams
+    return hits.select("doc", "key", F.explode("lines").alias("pos")).groupBy("doc", "key").agg(F.collect_set("pos").alias("gone"))
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gram_chars: int = GRAM_CHARS, window_chars: int = WINDOW_CHARS) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_chars: int = LEAST_CHARS) -> DataFrame:
     """``docs`` with ``text_col`` rewritten and two columns more: ``n_lines`` and ``n_removed``.
 
     Lines are compared without white space at their ends; blank lines neither match nor are removed.  Null text: stays null, 0
     lines.  Null id: the row stays as it is.  Rows with the same id and text are one document and all get the same text.
-    Text whose lines are all removed becomes empty.  A run of ``window_chars`` characters or more of whole lines is certain to
-    be found; one of ``gram_chars`` or more may be.
+    Text whose lines are all removed becomes empty.  Every later occurrence of a line, or run of whole lines, of ``least_chars``
+    characters or more goes, and so do later copies of whole texts with fewer.
     """
     arrays = cut(line_arrays(docs, id_col, text_col))
-    gone = repeated_runs(arrays, gram_chars, window_chars).select(F.col("doc").alias("_doc"), F.col("key").alias("_key"), F.col("gone").alias("_gone"))
+    gone = repeated_runs(arrays, least_chars).select(F.col("doc").alias("_doc"), F.col("key").alias("_key"), F.col("gone").alias("_gone"))
     out = docs.join(gone, (docs[id_col] == F.col("_doc")) & (F.xxhash64(docs[text_col].cast("string")) == F.col("_key")), "left")
     lines = F.split(F.col(text_col), "\n")
     left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_gone", i)), "\n")
