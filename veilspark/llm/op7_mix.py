@@ -123,8 +123,8 @@ def copies(hist: DataFrame, state: DataFrame, most: int = MOST, passes: int = 5)
     return g
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, most: int = MOST) -> DataFrame:
-    """One row a document: its id, size, source_size, target and whole ``copies`` (``taken = copies * size``).
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, most: int = MOST, also: tuple[str, ...] = ()) -> DataFrame:
+    """One row a document: its id, size, source_size, target and whole ``copies`` (``taken = copies * size``), and the columns ``also``.
 
     Nulls: a null text has size 0; null sources form one source, last in order.  Empty table: no rows.  Repeated ids
     are separate documents.  A document of size 0 gets one copy, which takes nothing.  Ties in the rounding go by id.
@@ -132,7 +132,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     base = cut(
         docs.select(
             F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"),
-            F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+            F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), *also,
         )
     )
     counts = cut(base.groupBy("source", "size").agg(F.count("*").alias("n")))
@@ -150,13 +150,23 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     c = F.sum("k").over(Window.partitionBy("sid", "size").orderBy("sub"))
     subs = subs.withColumn("c", c).select("sid", "size", "sub", (F.floor(F.col("c") * F.col("o") / F.col("of")) - F.floor((F.col("c") - F.col("k")) * F.col("o") / F.col("of"))).alias("more"))
     d = d.join(subs, ["sid", "size", "sub"], "left")
-    at = F.row_number().over(Window.partitionBy("sid", "size", "sub").orderBy("doc_id"))
+    at = F.row_number().over(Window.partitionBy("sid", "size", "sub").orderBy("doc_id", *also))
     n_copies = (F.floor(F.col("m") / F.col("n")) + (at <= F.coalesce("more", F.lit(0))).cast("long")).cast("long")
-    return d.select("doc_id", "source", "size", "source_size", "target", n_copies.alias("copies"))
+    return d.select("doc_id", "source", "size", "source_size", "target", n_copies.alias("copies"), *also)
 
 
-def mix_rows(docs: DataFrame, id_col: str = "doc_id", **kw) -> DataFrame:
-    """``docs`` with every row repeated as often as the mix takes it; ids must be unique and not null."""
-    plan = mix(docs, id_col, **kw).filter("copies > 0").select(F.col("doc_id").alias("_mix_id"), F.col("copies").alias("_mix_copies"))
-    out = docs.join(plan, docs[id_col] == plan["_mix_id"]).withColumn("_mix_at", F.explode(F.sequence(F.lit(1), F.col("_mix_copies"))))
-    return out.select(*docs.columns)
+def mix_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **kw) -> DataFrame:
+    """``docs`` with every row repeated as often as the mix takes it.
+
+    Rows are told apart by id, text and source together, nulls included, so null and repeated ids are taken like any other; of rows
+    that are equal in all three, each gets its own of their copies by rank.
+    """
+    told = [c for x in (F.col(id_col), F.col(text_col).cast("string"), F.col(source_col).cast("string")) for c in (x, x.isNull())]
+    keyed = docs.withColumn("_mix_key", F.xxhash64(*told))
+    plan = mix(keyed, id_col, text_col, source_col, also=("_mix_key",), **kw)
+    plan = plan.groupBy("_mix_key").agg(F.sort_array(F.collect_list("copies"), asc=False).alias("_mix_copies"))
+    others = F.to_json(F.struct(*[c for c in docs.columns if c != text_col]))
+    rank = F.row_number().over(Window.partitionBy("_mix_key").orderBy(others))
+    n = F.get("_mix_copies", F.col("_mix_rank") - 1).cast("int")
+    out = keyed.withColumn("_mix_rank", rank).join(plan, "_mix_key")
+    return out.withColumn("_mix_at", F.explode(F.array_repeat(F.lit(1), n))).select(*docs.columns)
