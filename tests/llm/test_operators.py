@@ -383,3 +383,19 @@ def test_line_dedup_leaves_no_repeat(spark):
     for i in (16, 17, 18, 20):
         assert out[i] == want[i], i
     assert out[21] == want[21].split("\n")[0] and out[22] == mark
+
+
+def test_vectors_in_a_crowd(spark):
+    """Few close pairs inside a crowd of one label that is all nearly, but not quite, linked, beside a group that is all linked."""
+    g = np.random.default_rng(4)
+    unit = lambda x: x / np.sqrt((x * x).sum(-1, keepdims=True))
+    x = unit(unit(g.standard_normal(64)) + unit(g.standard_normal((5000, 64))) * 0.27)
+    x[1::100] = unit(x[::100] + unit(g.standard_normal((50, 64))) * 0.18)
+    dense = unit(unit(g.standard_normal(64)) + unit(g.standard_normal((150, 64))) * 0.05)
+    x = np.concatenate((x, dense)).astype(np.float32)
+    got = op9_vectors.near_duplicates(spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int")).collect()
+    y = x.astype(np.float64)
+    hit = op9_vectors.cosines(y, y) >= 0.98
+    np.fill_diagonal(hit, False)
+    assert hit[:5000].any(1).sum() >= 90 and hit[5000:, 5000:].sum() == 150 * 149
+    assert {r["vec_id"]: r["n_links"] for r in got} == dict(enumerate(hit.sum(1).tolist()))

@@ -20,8 +20,8 @@ TABLES, CELL = 10, 256
 ROUNDS, ENLARGED = 4, 3
 #: Vectors whose links are found by comparing with all others, to audit recall: 1 MB for 64 dimensions.
 AUDITED, WANTED = 2048, 0.995
-#: Vectors of a block in exact comparisons.
-BLOCK = 1024
+#: Vectors of a block in exact comparisons, and in those of doubtful vectors with all.
+BLOCK, WIDE = 1024, 2048
 
 
 def _matrix(column) -> np.ndarray:
@@ -122,8 +122,8 @@ def _kept(edges: DataFrame, k: int, threshold: float) -> DataFrame:
     return e.withColumn("at", at).filter((F.col("at") <= k) | (F.col("s") >= threshold))
 
 
-def neighbour_graph(reps: DataFrame, k: int, tables: int, seed: int, threshold: float = THRESHOLD, rounds: int = ROUNDS) -> DataFrame:
-    """``(u, v, s, at)``: the graph after the descent."""
+def neighbour_graph(reps: DataFrame, k: int, tables: int, seed: int, threshold: float = THRESHOLD, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
+    """``(u, v, s, at)``, the graph after the descent, and ``(id)``, the doubtful vectors: of split cells, or with more links than a join takes."""
     sizes = {r["grp"]: r["n"] for r in reps.groupBy("grp").agg(F.count("*").alias("n")).collect()}
     bits = {g: int(min(40, max(0, np.ceil(np.log2(max(n, 1) / 48))))) for g, n in sizes.items()}
     cells = reps.select("id", "grp", "x").mapInArrow(_cells(bits, tables, seed), "id long, grp string, x array<double>, t int, cell long")
@@ -149,7 +149,9 @@ def neighbour_graph(reps: DataFrame, k: int, tables: int, seed: int, threshold:
         graph = after
         if changed <= n * k // 1000:
             break
-    return graph
+    split = cells.select("grp", "t", "cell", "id").join(crowd, ["grp", "t", "cell"]).select("id")
+    full = graph.filter(F.col("s") >= threshold).groupBy(F.col("u").alias("id")).agg(F.count("*").alias("c")).filter(F.col("c") > 2 * k).select("id")
+    return graph, cut(split.union(full).distinct())
 
 
 def _audit(queries: dict[str, tuple[np.ndarray, np.ndarray]], threshold: float):
@@ -166,6 +168,50 @@ def _audit(queries: dict[str, tuple[np.ndarray, np.ndarray]], threshold: float):
     return run
 
 
+def _spanned(threshold: float):
+    """``(a, b)``: of every vector of a tile with a link, the least one of the tile that it hangs together with."""
+
+    def run(t: pa.Table) -> pa.Table:
+        side, ids = (t.column(c).to_numpy() for c in ("side", "id"))
+        x = _matrix(t.column("x"))
+        known, node = np.unique(ids, return_inverse=True)
+        a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        s = cosines(x[a], x[b])
+        i, j = np.nonzero(np.abs(s - threshold) < 1e-9)
+        s[i, j] = pair_cosines(x[a[i]], x[b[j]])
+        i, j = np.nonzero(s >= threshold)
+        u, v = node[a[i]], node[b[j]]
+        root = np.arange(len(known))
+        while True:
+            low = np.minimum(root[u], root[v])
+            new = root.copy()
+            np.minimum.at(new, u, low)
+            np.minimum.at(new, v, low)
+            new = new[new]
+            if (new == root).all():
+                break
+            root = new
+        moved = np.flatnonzero(root != np.arange(len(known)))
+        return pa.table({"a": known[root[moved]], "b": known[moved]})
+
+    return run
+
+
+def exact_edges(reps: DataFrame, doubtful: DataFrame, threshold: float) -> DataFrame:
+    """``(a, b)`` that hang together as all links of the ``doubtful`` do: they are compared with every vector of their group, in blocks.
+
+    A tile gives a spanning forest of its links, so a crowded group costs comparisons but no rows by its square.
+    """
+    some = reps.select("id", "grp", "x").join(doubtful, "id", "left_semi")
+    sizes = reps.groupBy("grp").agg(F.ceil(F.count("*") / WIDE).cast("int").alias("nb"))
+    sizes = cut(sizes.join(some.groupBy("grp").agg(F.ceil(F.count("*") / WIDE).cast("int").alias("ns")), "grp"))
+    blk = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = some.join(sizes, "grp").select("grp", "id", "x", F.lit(0).alias("side"), blk("ns").alias("i"), every("nb").alias("j"))
+    right = reps.join(sizes, "grp").select("grp", "id", "x", F.lit(1).alias("side"), every("ns").alias("i"), blk("nb").alias("j"))
+    return left.union(right).groupBy("grp", "i", "j").applyInArrow(_spanned(threshold), "a long, b long")
+
+
 def _counts(threshold: float):
     """``(id, links)``: weighted links of a tile's two blocks."""
 
@@ -199,9 +245,11 @@ def link_counts(members: DataFrame, threshold: float) -> DataFrame:
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD) -> DataFrame:
     """``(vec_id, n_links, component_id, kept)`` for every row.
 
-    The descent finds which vectors hang together; links are then counted exactly inside each component, in blocks, so crowded
+    The descent finds which vectors hang together; vectors that it may have served badly (of split cells, or with more links than a
+    join takes) are compared with all of their group.  Links are then counted exactly inside each component, in blocks, so crowded
     neighbourhoods are whole however long the lists were.  A bounded set of vectors is compared with all others: links that it
-    shows are added, and where too many were missing, lists and tables are enlarged and the descent is run again.
+    shows are added, and where some are missing for too many vectors, a component's counted once, lists and tables are enlarged
+    and the descent is run again.  Groups in which vectors are still short after the last run are compared whole.
 
     Rows that link with nothing (no label, null, zero, null or non-finite components): 0 links, own component.  Equal vectors of a label
     link with each other.  Null ids: 0 links, null component.  Ids are expected to be unique; rows with one id count as one vector each.
@@ -211,18 +259,27 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     chosen = reps.orderBy(F.xxhash64("id")).limit(AUDITED).select("id", "grp", "x").collect()
     queries = {g: (np.array([r["id"] for r in chosen if r["grp"] == g], np.int64), np.array([r["x"] for r in chosen if r["grp"] == g])) for g in {r["grp"] for r in chosen}}
     true = cut(reps.select("id", "grp", "x").mapInArrow(_audit(queries, threshold), "a long, b long"))
-    n_true = true.count()
-    edges, k, tables = None, NEIGHBOURS, TABLES
+    edges, k, tables, compared = None, NEIGHBOURS, TABLES, None
     for attempt in range(ENLARGED):
-        graph = neighbour_graph(reps, k, tables, attempt, threshold)
+        graph, doubtful = neighbour_graph(reps, k, tables, attempt, threshold)
+        if compared is not None:
+            doubtful = cut(doubtful.join(compared, "id", "left_anti"))
         found = graph.filter((F.col("s") >= threshold - 1e-9) & (F.col("u") < F.col("v"))).select(F.col("u").alias("a"), F.col("v").alias("b"))
+        found = cut(found.union(exact_edges(reps, doubtful, threshold)))
         edges = found if edges is None else edges.union(found)
-        label = components(edges)
-        side = label.select("node", "component")
-        got = true.join(side.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a").join(side.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b")
-        if not n_true or got.filter("ca = cb").count() >= WANTED * n_true:
+        compared = doubtful if compared is None else compared.union(doubtful)
+        side = components(edges).select("node", "component")
+        # of the vectors audited that have links, those without one of them; a component counts once, whatever its size
+        ends = true.join(side.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(side.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
+        whole = cut(ends.groupBy("b").agg(F.min(F.coalesce(F.col("ca") == F.col("cb"), F.lit(False)).cast("int")).alias("ok"), F.first("cb").alias("c")))
+        recall = whole.groupBy(F.coalesce("c", "b").alias("c")).agg(F.min("ok").alias("ok")).agg(F.avg("ok")).first()[0]
+        if recall is None or recall >= WANTED:
             break
         k, tables = 2 * k, 2 * tables
+    else:
+        short = reps.join(whole.filter("ok = 0").select(F.col("b").alias("id")), "id", "left_semi").select("grp").distinct()
+        rest = reps.join(short, "grp", "left_semi").select("id").join(compared, "id", "left_anti")
+        edges = edges.union(cut(exact_edges(reps, cut(rest), threshold)))
     label = components(edges.union(true))
     members = cut(reps.join(label, reps["id"] == label["node"]).select("id", "component", "x", "m"))
     links = link_counts(members, threshold)
