@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,13 +18,42 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and go on from the files, so a lost executor costs no recomputation."""
-    sc = df.sparkSession.sparkContext
+_paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
+def folder(spark: SparkSession) -> str:
+    """The shared folder of ``spark.checkpoint.dir``.  Only a local session may have none set, as in tests; it gets one of its own."""
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = sc.getConf().get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="veilspark-"))
-    return df.checkpoint(eager=True)
+        named = sc.getConf().get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="veilspark-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: a lost executor costs no recomputation, and lineage ends there."""
+    spark = df.sparkSession
+    path = f"{folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables that :func:`cut` wrote and nothing reads any more, so that the shared folder holds what is in use only."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(_paths.pop(df))
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let go of finished plans between the phases of a long job: Spark deletes shuffle files only when their plans are collected as
+    garbage, which a driver with memory to spare puts off while the disks of the executors fill."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def let(value: Column, use) -> Column:
@@ -51,7 +82,9 @@ def components(edges: DataFrame, left: str = "a", right: str = "b", most: int =
         # small star: a node and all its smaller neighbours go to the smallest of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        e = cut(small.filter("u <> v").distinct())
+        after = cut(small.filter("u <> v").distinct())
+        drop(e)
+        e = after
         # a star forest has each node once on the left, and never on both sides
         state = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if before == state:
@@ -59,14 +92,3 @@ def components(edges: DataFrame, left: str = "a", right: str = "b", most: int =
         before = state
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("component"))
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots).groupBy("node").agg(F.min("component").alias("component"))
-
-
-def written(df: DataFrame) -> DataFrame:
-    """``df`` as a Parquet table in the shared checkpoint folder: like :func:`cut`, compressed, for larger tables."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = sc.getConf().get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="veilspark-"))
-    path = f"{sc._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, written
+from .common import cut
 
 #: Longest context in bytes.
 DEPTH = 5
@@ -209,7 +209,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **lim
     by_word = Window.partitionBy("word")
     words = d.select("chunk", "train", "text").mapInArrow(_vocabulary, "chunk long, word binary, n long")
     words = words.withColumn("c", F.sum("n").over(by_word)).withColumn("at", F.row_number().over(by_word.orderBy("chunk"))).filter("c > 0")
-    words = written(words.select("chunk", "word", "c", (F.col("at") == 1).alias("first")))
+    words = cut(words.select("chunk", "word", "c", (F.col("at") == 1).alias("first")))
     total = words.filter("first").agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     n_train, n_words = (total["n"] or 0) + n_docs, total["v"] + (n_docs > 0)
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
