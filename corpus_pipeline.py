@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilspark.llm import op2_jaccard, op5_langid, op6_bpe, op7_mix, op8_lines
-from veilspark.llm.common import table, written
+from veilspark.llm.common import cut, table
 
 #: Texts whose n-grams are this far from every profile are no running text of a language that is known.
 LEAST_SCORE = 0.1
@@ -56,5 +56,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir))
+        docs = cut(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)
