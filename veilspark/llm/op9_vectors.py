@@ -9,10 +9,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, cut
+from .common import components, cut, drop
 
 THRESHOLD = 0.98
-#: Neighbours a vector lists at first; links at the threshold are listed without a limit.
+#: Neighbours that a vector compares new ones with, at first; it lists twice as many.
 NEIGHBOURS = 10
 #: Hyperplane tables of the first graph, and vectors that share a cell of one at most.
 TABLES, CELL = 10, 256
@@ -40,6 +40,30 @@ def pair_cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a * b).sum(-1) / (np.sqrt((a * a).sum(-1)) * np.sqrt((b * b).sum(-1)))
 
 
+def similar(a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
+    """All cosines; products are rounded differently than pairwise sums, so those near the threshold are summed again."""
+    s = cosines(a, b)
+    i, j = np.nonzero(np.abs(s - threshold) < 1e-9)
+    s[i, j] = pair_cosines(a[i], b[j])
+    return s
+
+
+def forest(known: np.ndarray, u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``(a, b)``: of every vector of ``known`` with a link, ``(u, v)`` by place there, the least one that it hangs together with."""
+    root = np.arange(len(known))
+    while True:
+        low = np.minimum(root[u], root[v])
+        new = root.copy()
+        np.minimum.at(new, u, low)
+        np.minimum.at(new, v, low)
+        new = new[new]
+        if (new == root).all():
+            break
+        root = new
+    moved = np.flatnonzero(root != np.arange(len(known)))
+    return known[root[moved]], known[moved]
+
+
 def _edges(u: np.ndarray, v: np.ndarray, s: np.ndarray) -> pa.Table:
     return pa.table({"u": np.concatenate((u, v)), "v": np.concatenate((v, u)), "s": np.concatenate((s, s))})
 
@@ -57,19 +81,18 @@ def representatives(vectors: DataFrame, id_col: str, vector_col: str, label_col:
     return v.groupBy("grp", "x").agg(F.min("id").alias("id"), F.count("*").alias("m")).select("id", "grp", "x", "m")
 
 
-def _cells(bits: dict[str, int], tables: int, seed: int):
-    """``(grp, t, cell)`` of every vector for each table: the signs of so many random projections that cells of even data stay small."""
+def _cells(tables: int, seed: int):
+    """``(id, grp, x, t, cell)`` of every vector for each table: the signs of so many random projections that cells of even data stay small."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            group = np.array(b.column(1).to_pylist(), object)
-            for g in set(group.tolist()):
-                at = np.flatnonzero(group == g)
-                part = b.take(pa.array(at))
-                x = _matrix(part.column(2))
+            kinds = b.column(3).to_numpy() * 1_000_000 + np.array([len(x) for x in b.column(2)], np.int64)
+            for kind in np.unique(kinds).tolist():
+                part = b.take(pa.array(np.flatnonzero(kinds == kind)))
+                x, bits = _matrix(part.column(2)), kind // 1_000_000
                 for t in range(tables):
-                    planes = np.random.default_rng([seed, t]).standard_normal((x.shape[1], 40))[:, : bits[g]]
-                    code = ((x @ planes) > 0) @ (1 << np.arange(bits[g], dtype=np.int64))
+                    planes = np.random.default_rng([seed, t]).standard_normal((x.shape[1], 40))[:, :bits]
+                    code = ((x @ planes) > 0) @ (1 << np.arange(bits, dtype=np.int64))
                     n = len(part)
                     yield pa.record_batch([part.column(0), part.column(1), part.column(2), pa.array([t] * n, pa.int32()), pa.array(code, pa.int64())], ["id", "grp", "x", "t", "cell"])
 
@@ -77,18 +100,20 @@ def _cells(bits: dict[str, int], tables: int, seed: int):
 
 
 def _within(k: int, threshold: float):
+    """A cell's nearest neighbours, and as ties (``s`` null) a spanning forest of its links, which a crowd has more of than rows."""
+
     def run(t: pa.Table) -> pa.Table:
         ids, x = t.column("id").to_numpy(), _matrix(t.column("x"))
-        s = cosines(x, x)
+        s = similar(x, x, threshold)
         np.fill_diagonal(s, -2)
         n = min(k, len(ids) - 1)
         if n < 1:
             return pa.table({"u": ids[:0], "v": ids[:0], "s": np.empty(0)})
-        top = np.argpartition(-s, n - 1, axis=1)[:, :n]
-        keep = s >= threshold
-        keep[np.arange(len(ids))[:, None], top] = True
-        i, j = np.nonzero(keep)
-        return _edges(ids[i], ids[j], s[i, j])
+        i = np.repeat(np.arange(len(ids)), n)
+        j = np.argpartition(-s, n - 1, axis=1)[:, :n].ravel()
+        near = _edges(ids[i], ids[j], s[i, j])
+        a, b = forest(ids, *np.nonzero(s >= threshold))
+        return pa.concat_tables([near, pa.table({"u": a, "v": b, "s": pa.nulls(len(a), pa.float64())})])
 
     return run
 
@@ -104,7 +129,7 @@ def _local_join(k: int, threshold: float):
         first = np.flatnonzero(np.diff(u, prepend=u[:1] - 1))
         out = [[], [], []]
         for a, z in zip(first, np.append(first[1:], len(u))):
-            s = cosines(x[a:z], x[a:z])
+            s = similar(x[a:z], x[a:z], threshold)
             i, j = np.triu_indices(z - a, 1)
             s = s[i, j]
             ok = (s > np.minimum(worst[a:z][i], worst[a:z][j])) & (v[a:z][i] != v[a:z][j])
@@ -115,25 +140,28 @@ def _local_join(k: int, threshold: float):
     return run
 
 
-def _kept(edges: DataFrame, k: int, threshold: float) -> DataFrame:
-    """Each vector's ``k`` nearest, and all at the threshold."""
+def _kept(edges: DataFrame, k: int) -> DataFrame:
+    """Each vector's ``2k`` nearest."""
     e = edges.groupBy("u", "v").agg(F.max("s").alias("s"))
     at = F.row_number().over(Window.partitionBy("u").orderBy(F.col("s").desc(), "v"))
-    return e.withColumn("at", at).filter((F.col("at") <= k) | (F.col("s") >= threshold))
+    return e.withColumn("at", at).filter(F.col("at") <= 2 * k)
 
 
 def neighbour_graph(reps: DataFrame, k: int, tables: int, seed: int, threshold: float = THRESHOLD, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
-    """``(u, v, s, at)``, the graph after the descent, and ``(id)``, the doubtful vectors: of split cells, or with more links than a join takes."""
-    sizes = {r["grp"]: r["n"] for r in reps.groupBy("grp").agg(F.count("*").alias("n")).collect()}
-    bits = {g: int(min(40, max(0, np.ceil(np.log2(max(n, 1) / 48))))) for g, n in sizes.items()}
-    cells = reps.select("id", "grp", "x").mapInArrow(_cells(bits, tables, seed), "id long, grp string, x array<double>, t int, cell long")
+    """``(a, b)``, links that the descent found or what spans them, and ``(id)``, the doubtful vectors: of split cells, or with lists full of links."""
+    sizes = reps.groupBy("grp").agg(F.count("*").alias("n"))
+    bits = F.least(F.lit(40), F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / 48)))).cast("long")
+    cells = reps.select("id", "grp", "x").join(sizes.select("grp", bits.alias("bits")), "grp").select("id", "grp", "x", "bits")
+    cells = cells.mapInArrow(_cells(tables, seed), "id long, grp string, x array<double>, t int, cell long")
     crowd = cells.groupBy("grp", "t", "cell").agg(F.ceil(F.count("*") / CELL).cast("int").alias("parts"))
     # a crowded cell is split at random: its vectors are close to each other whichever they meet
     crowd = crowd.filter("parts > 1")
     dealt = cells.join(crowd, ["grp", "t", "cell"], "left").withColumn("part", F.pmod(F.xxhash64("id", "t"), F.coalesce("parts", F.lit(1))))
-    edges = dealt.groupBy("grp", "t", "cell", "part").applyInArrow(_within(k, threshold), "u long, v long, s double")
-    graph = cut(_kept(edges, k, threshold))
-    n = sum(sizes.values())
+    edges = cut(dealt.groupBy("grp", "t", "cell", "part").applyInArrow(_within(2 * k, threshold), "u long, v long, s double"))
+    ties = cut(edges.filter("s is null").select("u", "v").distinct())
+    graph = cut(_kept(edges.filter("s is not null"), k))
+    drop(edges)
+    n = reps.count()
     vectors = reps.select(F.col("id").alias("v"), "x")
     spread = max(1, n * k // 20_000)
     for _ in range(rounds):
@@ -144,14 +172,19 @@ def neighbour_graph(reps: DataFrame, k: int, tables: int, seed: int, threshold:
         near = both.withColumn("r", F.row_number().over(Window.partitionBy("u").orderBy(F.col("s").desc(), "v"))).filter(F.col("r") <= 2 * k)
         rows = near.select("u", "v").join(worst, "v", "left").withColumn("worst", F.coalesce("worst", F.lit(-2.0))).join(vectors, "v")
         new = rows.withColumn("p", F.pmod(F.xxhash64("u"), F.lit(spread))).groupBy("p").applyInArrow(_local_join(k, threshold), "u long, v long, s double")
-        after = cut(_kept(graph.select("u", "v", "s").union(new), k, threshold))
+        after = cut(_kept(graph.select("u", "v", "s").union(new), k))
         changed = after.join(graph.select("u", "v"), ["u", "v"], "left_anti").count()
+        drop(graph)
         graph = after
         if changed <= n * k // 1000:
             break
+    links = graph.filter(F.col("s") >= threshold)
     split = cells.select("grp", "t", "cell", "id").join(crowd, ["grp", "t", "cell"]).select("id")
-    full = graph.filter(F.col("s") >= threshold).groupBy(F.col("u").alias("id")).agg(F.count("*").alias("c")).filter(F.col("c") > 2 * k).select("id")
-    return graph, cut(split.union(full).distinct())
+    full = links.groupBy(F.col("u").alias("id")).agg(F.count("*").alias("c")).filter(F.col("c") >= 2 * k).select("id")
+    doubtful = cut(split.union(full).distinct())
+    found = cut(links.filter("u < v").select(F.col("u").alias("a"), F.col("v").alias("b")).union(ties.select(F.col("u").alias("a"), F.col("v").alias("b"))))
+    drop(graph, ties)
+    return found, doubtful
 
 
 def _audit(queries: dict[str, tuple[np.ndarray, np.ndarray]], threshold: float):
@@ -161,7 +194,7 @@ def _audit(queries: dict[str, tuple[np.ndarray, np.ndarray]], threshold: float):
             for g in set(group.tolist()) & queries.keys():
                 at = np.flatnonzero(group == g)
                 ids, x = b.column(0).to_numpy()[at], _matrix(b.column(2).take(pa.array(at)))
-                i, j = np.nonzero(cosines(x, queries[g][1]) >= threshold)
+                i, j = np.nonzero(similar(x, queries[g][1], threshold) >= threshold)
                 u, v = ids[i], queries[g][0][j]
                 yield pa.record_batch([pa.array(u[u != v]), pa.array(v[u != v])], ["a", "b"])
 
@@ -176,23 +209,9 @@ def _spanned(threshold: float):
         x = _matrix(t.column("x"))
         known, node = np.unique(ids, return_inverse=True)
         a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        s = cosines(x[a], x[b])
-        i, j = np.nonzero(np.abs(s - threshold) < 1e-9)
-        s[i, j] = pair_cosines(x[a[i]], x[b[j]])
-        i, j = np.nonzero(s >= threshold)
-        u, v = node[a[i]], node[b[j]]
-        root = np.arange(len(known))
-        while True:
-            low = np.minimum(root[u], root[v])
-            new = root.copy()
-            np.minimum.at(new, u, low)
-            np.minimum.at(new, v, low)
-            new = new[new]
-            if (new == root).all():
-                break
-            root = new
-        moved = np.flatnonzero(root != np.arange(len(known)))
-        return pa.table({"a": known[root[moved]], "b": known[moved]})
+        i, j = np.nonzero(similar(x[a], x[b], threshold) >= threshold)
+        of, to = forest(known, node[a[i]], node[b[j]])
+        return pa.table({"a": of, "b": to})
 
     return run
 
@@ -219,11 +238,7 @@ def _counts(threshold: float):
         side, ids, m = (t.column(c).to_numpy() for c in ("side", "id", "m"))
         x = _matrix(t.column("x"))
         a, b = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
-        s = cosines(x[a], x[b])
-        # products are rounded differently than pairwise sums: those near the threshold are summed again
-        i, j = np.nonzero(np.abs(s - threshold) < 1e-9)
-        s[i, j] = pair_cosines(x[a[i]], x[b[j]])
-        hit = (s >= threshold) & (ids[a][:, None] != ids[b][None, :])
+        hit = (similar(x[a], x[b], threshold) >= threshold) & (ids[a][:, None] != ids[b][None, :])
         if (side == 2).any():
             return pa.table({"id": ids[a], "links": (hit @ m[b]).astype(np.int64)})
         return pa.table({"id": np.concatenate((ids[a], ids[b])), "links": np.concatenate((hit @ m[b], m[a] @ hit)).astype(np.int64)})
@@ -245,8 +260,7 @@ def link_counts(members: DataFrame, threshold: float) -> DataFrame:
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD) -> DataFrame:
     """``(vec_id, n_links, component_id, kept)`` for every row.
 
-    The descent finds which vectors hang together; vectors that it may have served badly (of split cells, or with more links than a
-    join takes) are compared with all of their group.  Links are then counted exactly inside each component, in blocks, so crowded
+    The descent finds which vectors hang together; vectors that it may have served badly (of split cells, or with lists full of links) are compared with all of their group.  Links are then counted exactly inside each component, in blocks, so crowded
     neighbourhoods are whole however long the lists were.  A bounded set of vectors is compared with all others: links that it
     shows are added, and where some are missing for too many vectors, a component's counted once, lists and tables are enlarged
     and the descent is run again.  Groups in which vectors are still short after the last run are compared whole.
@@ -261,10 +275,9 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     true = cut(reps.select("id", "grp", "x").mapInArrow(_audit(queries, threshold), "a long, b long"))
     edges, k, tables, compared = None, NEIGHBOURS, TABLES, None
     for attempt in range(ENLARGED):
-        graph, doubtful = neighbour_graph(reps, k, tables, attempt, threshold)
+        found, doubtful = neighbour_graph(reps, k, tables, attempt, threshold)
         if compared is not None:
             doubtful = cut(doubtful.join(compared, "id", "left_anti"))
-        found = graph.filter((F.col("s") >= threshold - 1e-9) & (F.col("u") < F.col("v"))).select(F.col("u").alias("a"), F.col("v").alias("b"))
         found = cut(found.union(exact_edges(reps, doubtful, threshold)))
         edges = found if edges is None else edges.union(found)
         compared = doubtful if compared is None else compared.union(doubtful)
