@@ -56,6 +56,16 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names like ``names`` that ``df`` has not, whatever it brings along."""
+    taken = {c.lower() for c in df.columns}
+
+    def free(name: str) -> str:
+        return name if name.lower() not in taken else free(f"_{name}")
+
+    return [free(n) for n in names]
+
+
 def let(value: Column, use) -> Column:
     """``use(value)`` with ``value`` computed once, wherever the optimizer moves the expression."""
     return F.transform(F.array(value), use)[0]

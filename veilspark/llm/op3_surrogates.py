@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, let
+from .common import cut, fresh, let
 
 # Titles with the gender they tell, and what introduces a name.
 MALE_TITLES = ("Mr", "Herr", "Monsieur", "Señor", "Sr", "господин", "Господин")
@@ -31,10 +31,10 @@ ANY = "|".join(f"(?:{p})" for p in TYPES.values())
 #: Every match holds a digit, an at sign or one of these words; looking for them first is far cheaper than the patterns.
 WORDS_FIRST = (*MALE_TITLES, *FEMALE_TITLES, *OTHER_TITLES, "AKIA", "ASIA")
 SECRET_WORDS = ("passw", "pwd", "secret", "token", "api", "access")
-#: Stands around what was found; texts' own are put aside first.
-MARK, OWN = "\x01", ""
-#: Rounds of choosing anew where a surrogate is taken.
-ROUNDS = 20
+#: Words of a text, among which the parts of its names recur, and what is between them.
+PIECES = r"(?s)[\p{L}\p{N}_]+(?:-[\p{L}\p{N}_]+)*|[^\p{L}\p{N}_]+"
+#: Rounds of choosing anew where a surrogate is taken; names are a syllable longer every few rounds, so their space grows.
+ROUNDS, LONGER = 64, 3
 
 
 def may_hold(text: Column) -> Column:
@@ -74,8 +74,8 @@ def luhn_digit(digits: Column) -> Column:
 
 
 def _alike(seed: Column, value: Column) -> Column:
-    """Every letter and digit replaced by one of its kind, script and case; hexadecimal text stays hexadecimal."""
-    hexed = value.rlike("^[0-9a-f]+$")
+    """Every letter and digit replaced by one of its kind, script and case; text of hexadecimal digits and letters stays so."""
+    hexed = value.rlike("^(?=[0-9a-f]*[0-9])(?=[0-9a-f]*[a-f])[0-9a-f]+$")
     kinds = (("0", "9", "0123456789"), ("a", "z", "abcdefghijklmnopqrstuvwxyz"), ("A", "Z", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), ("а", "я", "абвгдежзиклмнопрстуфхцчшэюя"), ("А", "Я", "АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЭЮЯ"))
 
     def one(i: Column) -> Column:
@@ -86,8 +86,19 @@ def _alike(seed: Column, value: Column) -> Column:
     return F.array_join(F.transform(F.sequence(F.lit(1), F.length(value)), one), "")
 
 
-def _name(seed: Column, gender: Column, family: Column, cyrillic: Column) -> Column:
-    """A pronounceable name: three or four keyed syllables and an ending that fits gender and script."""
+def iban_digits(country: Column, account: Column) -> Column:
+    """The two check digits with which ``country``, they and ``account`` leave 1 modulo 97."""
+    chars = F.split(F.concat(account, country, F.lit("00")), "")
+
+    def on(rest: Column, c: Column) -> Column:
+        digit = c.rlike("[0-9]")
+        return F.when(digit, (rest * 10 + c.cast("int")) % 97).otherwise((rest * 100 + F.ascii(c) - 55) % 97)
+
+    return F.lpad((98 - F.aggregate(F.filter(chars, lambda c: c != ""), F.lit(0), on)).cast("string"), 2, "0")
+
+
+def _name(seed: Column, gender: Column, family: Column, cyrillic: Column, syllables: Column) -> Column:
+    """A pronounceable name: so many keyed syllables and an ending that fits gender and script."""
     latin = "ba be da de fa fi ga ha jo ka ke la le li ma me mi na ne no pa re ri ro sa se ta te ti va ve vi za ze".split()
     other = "ба бе ва ве га да де жа зе ка ке ла ле ли ма ме ми на не но па ре ри ро са се та те ти фа фе ша ша же".split()
     pick = lambda xs, i: F.element_at(F.array(*map(F.lit, xs)), (F.pmod(_hash(seed, F.lit(i)), F.lit(len(xs))) + 1).cast("int"))
@@ -96,7 +107,8 @@ def _name(seed: Column, gender: Column, family: Column, cyrillic: Column) -> Col
         (1, "m"): ("н", "р", "й", "м"), (1, "f"): ("на", "ра", "ля", "ина"), (1, "u"): ("н", "ри", "ль", "с"),
     }
     family_ends = {(0, "m"): ("son", "berg", "mann", "ton"), (0, "f"): ("son", "berg", "mann", "ton"), (0, "u"): ("son", "berg", "mann", "ton"), (1, "m"): ("ков", "нев", "ский"), (1, "f"): ("кова", "нева", "ская"), (1, "u"): ("ко", "ук")}
-    stem = F.when(cyrillic, F.concat(pick(other, 1), pick(other, 2), pick(other, 3))).otherwise(F.concat(pick(latin, 1), pick(latin, 2), pick(latin, 3)))
+    drawn = lambda xs, i: F.element_at(F.array(*map(F.lit, xs)), (F.pmod(_hash(seed, i + 10), F.lit(len(xs))) + 1).cast("int"))
+    stem = F.array_join(F.transform(F.sequence(F.lit(1), syllables), lambda i: F.when(cyrillic, drawn(other, i)).otherwise(drawn(latin, i))), "")
 
     def ending(table) -> Column:
         out = pick(table[(0, "u")], 5)
@@ -110,8 +122,10 @@ def _name(seed: Column, gender: Column, family: Column, cyrillic: Column) -> Col
 def found(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``(doc, key, parts)``: for texts with something found, their pieces; every second one was found."""
     d = docs.select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("text")).filter(hit(F.col("text")))
-    marked = F.regexp_replace(F.translate("text", MARK, OWN), ANY, f"{MARK}$0{MARK}")
-    return d.select("doc", F.xxhash64("text").alias("key"), F.split(marked, MARK, -1).alias("parts"))
+    between, matches = F.split("text", ANY, -1), F.regexp_extract_all("text", F.lit(ANY), F.lit(0))
+    d = d.select("doc", F.xxhash64("text").alias("key"), between.alias("between"), matches.alias("matches"))
+    parts = F.flatten(F.transform("between", lambda p, i: F.when(i < F.size("matches"), F.array(p, F.get("matches", i))).otherwise(F.array(p))))
+    return d.select("doc", "key", parts.alias("parts"))
 
 
 def entities(pieces: DataFrame) -> DataFrame:
@@ -161,8 +175,9 @@ def surrogates(values: DataFrame, secret: str) -> DataFrame:
                 .when(F.col("type") == "card", let(_digits(seed, F.length(norm) - 1, first), lambda body: F.concat(body, luhn_digit(body))))
                 .when(F.col("type").isin("phone", "ssn"), _digits(seed, F.length(norm), first))
                 .when(F.col("type") == "ip", F.concat_ws(".", octet(1), octet(2), octet(3), octet(4)))
-                .when(F.col("type").isin("key_id", "iban"), F.concat(F.substr(norm, F.lit(1), F.when(F.col("type") == "iban", 2).otherwise(4)), _alike(seed, F.expr("substring(norm, if(type = 'iban', 3, 5))"))))
-                .when(F.col("type").isin("person", "family"), _name(seed, F.col("gender"), F.col("type") == "family", cyrillic))
+                .when(F.col("type") == "key_id", F.concat(F.substr(norm, F.lit(1), F.lit(4)), _alike(seed, F.expr("substring(norm, 5)"))))
+                .when(F.col("type") == "iban", let(_alike(seed, F.expr("substring(norm, 5)")), lambda account: F.concat(F.substr(norm, F.lit(1), F.lit(2)), iban_digits(F.substr(norm, F.lit(1), F.lit(2)), account), account)))
+                .when(F.col("type").isin("person", "family"), _name(seed, F.col("gender"), F.col("type") == "family", cyrillic, (F.lit(3) + F.col("try") / LONGER).cast("int")))
                 .otherwise(_alike(seed, norm))
             )
 
@@ -180,21 +195,22 @@ def surrogates(values: DataFrame, secret: str) -> DataFrame:
 
 
 def _fitted(raw: Column, made: Column) -> Column:
-    """The digits of ``made`` in the places of the digits of ``raw``; other characters stay."""
+    """The characters of ``made`` in the places of the digits and capitals of ``raw``; other characters stay."""
     n = F.length(raw)
-    upto = lambda i: F.length(F.regexp_replace(F.substr(raw, F.lit(1), i), r"\D", ""))
-    return F.array_join(F.transform(F.sequence(F.lit(1), n), lambda i: F.when(F.substr(raw, i, F.lit(1)).rlike(r"\d"), F.substr(made, upto(i), F.lit(1))).otherwise(F.substr(raw, i, F.lit(1)))), "")
+    upto = lambda i: F.length(F.regexp_replace(F.substr(raw, F.lit(1), i), r"[^0-9A-Z]", ""))
+    return F.array_join(F.transform(F.sequence(F.lit(1), n), lambda i: F.when(F.substr(raw, i, F.lit(1)).rlike(r"[0-9A-Z]"), F.substr(made, upto(i), F.lit(1))).otherwise(F.substr(raw, i, F.lit(1)))), "")
 
 
 def replace(docs: DataFrame, secret: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with ``text_col`` rewritten and ``n_entities`` added.
 
     Equal values (after case, spacing and punctuation that does not matter is set aside) get equal surrogates in every document,
-    different ones different surrogates.  Digits keep their layout, cards pass the Luhn check, hexadecimal stays so, names keep
-    script and the gender that a title tells, and their parts are replaced alike wherever they recur.
+    different ones different surrogates.  Digits keep their layout, cards and IBANs get valid check digits, hexadecimal stays so, names
+    keep script and the gender that a title tells.  Names are found behind a title or an introduction only; their parts are then
+    replaced alike wherever they stand as words of the same text.  ``n_entities`` counts what was found, without such recurrences.
 
     Null or empty text, or none found: unchanged, 0.  Null ids: unchanged too, as nothing tells such rows apart; rows with the
-    same id and text are rewritten alike.  The placeholder U+0001 of a rewritten text comes back as it was.
+    same id and text are rewritten alike.  A column ``n_entities`` is replaced; all others stay, whatever their names.
     """
     pieces = found(docs.filter(F.col(id_col).isNotNull()), id_col, text_col).dropDuplicates(["doc", "key"])
     pieces = cut(pieces)
@@ -204,15 +220,27 @@ def replace(docs: DataFrame, secret: str, id_col: str = "doc_id", text_col: str
     values = told.select("type", "norm", F.when(F.col("m") > F.col("f"), "m").when(F.col("f") > 0, "f").otherwise("u").alias("gender"))
     table = surrogates(cut(values), secret).select(F.col("type").alias("t2"), F.col("norm").alias("n2"), "made")
     rows = rows.join(table, (F.col("type") == F.col("t2")) & (F.col("norm") == F.col("n2")))
-    fits = F.when(F.col("type").isin("phone", "card", "ssn"), _fitted(F.col("word"), F.col("made"))).otherwise(F.col("made"))
-    one = rows.select("doc", "key", "at", "raw", "head", "value", F.struct("w", fits.alias("made")).alias("m"))
+    fits = F.when(F.col("type").isin("phone", "card", "ssn", "iban"), _fitted(F.col("word"), F.col("made"))).otherwise(F.col("made"))
+    rows = cut(rows.select("doc", "key", "at", "raw", "head", "type", "value", "w", "word", fits.alias("made")))
+    one = rows.select("doc", "key", "at", "raw", "head", "value", F.struct("w", "made").alias("m"))
     one = one.groupBy("doc", "key", "at").agg(F.first("raw").alias("raw"), F.first("head").alias("head"), F.first("value").alias("value"), F.array_sort(F.collect_list("m")).alias("ms"))
     new = F.concat("head", F.array_join(F.transform("ms", lambda m: m["made"]), " "), F.expr("substring(raw, length(head) + length(value) + 1)"))
     swaps = one.groupBy("doc", "key").agg(F.map_from_entries(F.collect_list(F.struct("at", new.alias("new")))).alias("swap"))
-    whole = F.translate(F.array_join(F.transform("parts", lambda p, i: F.coalesce(F.col("swap")[i], p)), ""), OWN, MARK)
-    texts = pieces.join(swaps, ["doc", "key"]).select(F.col("doc").alias("_doc"), F.col("key").alias("_key"), whole.alias("_text"), F.size("swap").cast("long").alias("_n"))
-    found_in = hit(F.col(text_col).cast("string")) & F.col(id_col).isNotNull()
-    same = docs.filter(~found_in).withColumn("n_entities", F.lit(0).cast("long"))
-    changed = docs.filter(found_in).join(texts, (F.col(id_col) == F.col("_doc")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("_key")), "left")
-    changed = changed.withColumn(text_col, F.coalesce("_text", F.col(text_col))).withColumn("n_entities", F.coalesce("_n", F.lit(0).cast("long"))).drop("_doc", "_key", "_text", "_n")
+    # a word that is a first and a family name in one text recurs as the family's
+    named = rows.filter(F.col("type").isin("person", "family")).groupBy("doc", "key", "word").agg(F.min(F.struct("type", "made")).alias("m"))
+    named = named.groupBy("doc", "key").agg(F.map_from_entries(F.collect_list(F.struct("word", F.col("m.made").alias("made")))).alias("names"))
+
+    def around(p: Column) -> Column:
+        return F.when(F.col("names").isNull(), p).otherwise(F.array_join(F.transform(F.regexp_extract_all(p, F.lit(PIECES), F.lit(0)), lambda x: F.coalesce(F.col("names")[x], x)), ""))
+
+    swapped = F.transform("parts", lambda p, i: F.when(i % 2 == 0, around(p)).otherwise(F.coalesce(F.col("swap")[i], p)))
+    doc, key, text, n = fresh(docs, "_doc", "_key", "_text", "_n")
+    texts = pieces.join(swaps, ["doc", "key"]).join(named, ["doc", "key"], "left")
+    texts = texts.select(F.col("doc").alias(doc), F.col("key").alias(key), F.array_join(swapped, "").alias(text), F.size("swap").cast("long").alias(n))
+    old = F.col(text_col).cast("string")
+    found_in = hit(old) & F.col(id_col).isNotNull()
+    docs = docs.drop("n_entities")
+    same = docs.filter(~found_in).withColumn(text_col, old).withColumn("n_entities", F.lit(0).cast("long"))
+    changed = docs.filter(found_in).join(texts, (F.col(id_col) == F.col(doc)) & (F.xxhash64(old) == F.col(key)), "left")
+    changed = changed.withColumn(text_col, F.coalesce(text, old)).withColumn("n_entities", F.coalesce(n, F.lit(0).cast("long"))).drop(doc, key, text, n)
     return same.unionByName(changed)
