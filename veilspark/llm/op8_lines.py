@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, let
+from .common import cut, fresh, let
 
 #: Lines with fewer characters are trivial ("}", "--", "1."): they go only with their neighbours, in a repeated run that has this many.
 LEAST_CHARS = 5
@@ -48,7 +48,8 @@ def fingerprints(arrays: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame
         n = F.size(units)
         ahead = F.transform(units, lambda u, i: let(_span(units, i, least_chars), lambda g: F.struct(i.alias("i"), g.alias("g"))))
         behind = F.transform(back, lambda u, i: let(_span(back, i, least_chars), lambda g: F.struct((n - i - g).alias("i"), g.alias("g"))))
-        return F.array_distinct(F.filter(F.concat(ahead, behind), lambda x: x["g"].isNotNull()))
+        # of single lines both are the same; what else is the same does no harm
+        return F.concat(F.filter(ahead, lambda x: x["g"].isNotNull()), F.filter(behind, lambda x: x["g"] > 1))
 
     def hashed(spans: Column) -> Column:
         def one(i: Column, g: Column, salt: str = "") -> Column:
@@ -81,15 +82,21 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
     """``docs`` with ``text_col`` rewritten and two columns more: ``n_lines`` and ``n_removed``.
 
     Lines are compared without white space at their ends; blank lines neither match nor are removed.  Null text: stays null, 0
-    lines.  Null id: the row stays as it is.  Rows with the same id and text are one document and all get the same text.
+    lines.  Null id: the row stays as it is.  Columns of these two names are replaced; all others stay, whatever their names.  Rows with the same id and text are one document and all get the same text.
     Text whose lines are all removed becomes empty.  Every later occurrence of a line, or run of whole lines, of ``least_chars``
     characters or more goes, and so do later copies of whole texts with fewer.
     """
     arrays = cut(line_arrays(docs, id_col, text_col))
-    gone = repeated_runs(arrays, least_chars).select(F.col("doc").alias("_doc"), F.col("key").alias("_key"), F.col("gone").alias("_gone"))
-    out = docs.join(gone, (docs[id_col] == F.col("_doc")) & (F.xxhash64(docs[text_col].cast("string")) == F.col("_key")), "left")
-    lines = F.split(F.col(text_col), "\n")
-    left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_gone", i)), "\n")
-    out = out.withColumn("n_lines", F.coalesce(F.size(lines), F.lit(0)).cast("long")).withColumn("n_removed", F.coalesce(F.size("_gone"), F.lit(0)).cast("long"))
-    out = out.withColumn("n_lines", F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.col("n_lines"))).withColumn("n_removed", F.greatest(F.lit(0), "n_removed"))
-    return out.withColumn(text_col, F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(left)).drop("_doc", "_key", "_gone")
+    doc, key, gone = fresh(docs, "_doc", "_key", "_gone")
+    runs = repeated_runs(arrays, least_chars).select(F.col("doc").alias(doc), F.col("key").alias(key), F.col("gone").alias(gone))
+    text = F.col(text_col).cast("string")
+    out = docs.drop("n_lines", "n_removed").join(runs, (F.col(id_col) == F.col(doc)) & (F.xxhash64(text) == F.col(key)), "left")
+    lines = F.split(text, "\n")
+    # places are set aside by hash, so a text with very many lines takes no square of them
+    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone))
+    left = F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
+    n_lines = F.when(text.isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long")
+    n_removed = F.when(F.col(gone).isNull(), F.lit(0)).otherwise(F.size(gone)).cast("long")
+    rewritten = F.when(F.col(gone).isNull(), text).otherwise(left)
+    columns = [rewritten.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("n_lines", "n_removed")]
+    return out.select(*columns, n_lines.alias("n_lines"), n_removed.alias("n_removed"))
