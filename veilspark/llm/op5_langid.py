@@ -13,40 +13,37 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+from .common import fresh
+
 #: Most frequent n-grams of a profile and of a document that are compared.
 TOP = 300
 #: Profiles are fitted on about this many labelled documents a language at most, chosen by a hash of their ids.
 FIT_ROWS = 2_000
-N_SYMBOLS = 64
-UNI, BI, TRI = 0, N_SYMBOLS, N_SYMBOLS + N_SYMBOLS**2
-N_GRAMS = TRI + N_SYMBOLS**3
+#: An n-gram's code has 21 bits a symbol; these stand in the first place of shorter ones, beyond all code points.
+UNI, BI = 0x1FFFFE << 42, 0x1FFFFF << 42
 UNKNOWN = "und"
 GROUP_CHARS = 400_000
 
 
 @lru_cache(maxsize=1)
 def symbols() -> np.ndarray:
-    """Code point to symbol: 0 for what is no letter, 1 to 26 for a to z, and the lower-case code point modulo 37 for other letters."""
+    """Code point to symbol: 0 for what is no letter, else the lower-case code point."""
     every = "".join(chr(c) if not 0xD800 <= c < 0xE000 else " " for c in range(0x110000))
-    table = np.zeros(0x110000, np.int32)
+    table = np.zeros(0x110000, np.int64)
     for m in regex.finditer(r"\p{L}+", every):
-        for c in range(m.start(), m.end()):
-            low = ord(chr(c).lower()[0])
-            table[c] = low - 96 if 97 <= low <= 122 else 27 + low % 37
+        table[m.start() : m.end()] = [ord(c.lower()[0]) for c in m[0]]
     return table
 
 
 def gram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
     """``(codes, counts)`` of the n-grams of 1 to 3 symbols within the words of a text, a word's edges counting as a symbol."""
     s = symbols()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
-    s = np.concatenate((np.zeros(1, np.int32), s, np.zeros(2, np.int32)))
+    s = np.concatenate((np.zeros(1, np.int64), s, np.zeros(2, np.int64)))
     if not s.any():
         return np.empty(0, np.int64), np.empty(0, np.int64)
     a, b, c = s[:-2], s[1:-1], s[2:]
-    uni = b[b > 0]
-    bi = (a * N_SYMBOLS + b)[(a > 0) | (b > 0)] + BI
-    tri = ((a * N_SYMBOLS + b) * N_SYMBOLS + c)[b > 0] + TRI
-    return np.unique(np.concatenate((uni, bi, tri)), return_counts=True)
+    two = (a << 21) | b
+    return np.unique(np.concatenate((b[b > 0] | UNI, two[two > 0] | BI, ((two << 21) | c)[b > 0])), return_counts=True)
 
 
 def top_grams(codes: np.ndarray, counts: np.ndarray, top: int = TOP) -> np.ndarray:
@@ -63,14 +60,15 @@ def in_training(id_col: str = "doc_id") -> Column:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sums: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(N_GRAMS, np.int64))
+    """``(lang, code, n)`` for the texts of each batch."""
     for b in batches:
+        found: dict[str, list] = defaultdict(list)
         for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            codes, counts = gram_counts(text)
-            sums[lang][codes] += counts
-    for lang, s in sums.items():
-        at = np.flatnonzero(s)
-        yield pa.record_batch([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(s[at])], ["lang", "code", "n"])
+            found[lang].append(gram_counts(text))
+        for lang, x in found.items():
+            codes, at = np.unique(np.concatenate([c for c, _ in x]), return_inverse=True)
+            n = np.bincount(at, np.concatenate([n for _, n in x]), len(codes)).astype(np.int64)
+            yield pa.record_batch([pa.array([lang] * len(codes), pa.string()), pa.array(codes), pa.array(n)], ["lang", "code", "n"])
 
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = FIT_ROWS, top: int = TOP) -> dict[str, np.ndarray]:
@@ -88,7 +86,7 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     profiles = {lang: [0] * sum(r["lang"] == lang for r in got) for lang in {r["lang"] for r in got}}
     for r in got:
         profiles[r["lang"]][r["at"] - 1] = r["code"]
-    return {lang: np.array(p) for lang, p in sorted(profiles.items())}
+    return {lang: np.array(p, np.int64) for lang, p in sorted(profiles.items())}
 
 
 class Identifier:
@@ -96,15 +94,18 @@ class Identifier:
 
     def __init__(self, profiles: dict[str, np.ndarray], top: int = TOP):
         self.langs, self.top = list(profiles), top
-        self.rank = np.full((len(profiles), N_GRAMS), -1, np.int32)
+        self.codes = np.unique(np.concatenate([np.full(1, -1, np.int64), *profiles.values()]))
+        self.rank = np.full((len(profiles), len(self.codes)), -1, np.int32)
         for i, p in enumerate(profiles.values()):
-            self.rank[i, p] = np.arange(len(p))
+            self.rank[i, np.searchsorted(self.codes, p)] = np.arange(len(p))
 
     def predict(self, text: str | None) -> tuple[str, float]:
         best = top_grams(*gram_counts(text)) if text else ()
         if not len(best) or not self.langs:
             return UNKNOWN, 0.0
-        r = self.rank[:, best]
+        at = np.searchsorted(self.codes, best)
+        at[at == len(self.codes)] = 0
+        r = self.rank[:, np.where(self.codes[at] == best, at, 0)]
         d = np.where(r >= 0, np.abs(r - np.arange(len(best))), self.top).sum(1)
         i = int(np.argmin(d))
         return self.langs[i], float(max(0.0, min(1.0, 1 - d[i] / (self.top * len(best)))))
@@ -133,13 +134,13 @@ def identify(docs: DataFrame, profiles: dict[str, np.ndarray], id_col: str = "do
     )
 
 
-def _append(profiles: dict[str, np.ndarray], text_at: int):
+def _append(profiles: dict[str, np.ndarray], text_at: int, *names: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = Identifier(profiles)
         for b in batches:
             got = [one.predict(t.as_py()) for t in b.column(text_at)]
             columns = [*b.columns, pa.array([x for x, _ in got], pa.string()), pa.array([x for _, x in got], pa.float64())]
-            yield pa.record_batch(columns, [*b.schema.names, "_lang_pred", "_lang_score"])
+            yield pa.record_batch(columns, [*b.schema.names, *names])
 
     return run
 
@@ -147,6 +148,7 @@ def _append(profiles: dict[str, np.ndarray], text_at: int):
 def accepted(docs: DataFrame, profiles: dict[str, np.ndarray], least: float, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose text has a language with a score of ``least`` or more; all columns, no shuffle."""
     schema = docs.schema
-    out = StructType([*schema.fields, StructField("_lang_pred", StringType()), StructField("_lang_score", DoubleType())])
-    named = docs.mapInArrow(_append(profiles, schema.names.index(text_col)), out)
-    return named.filter((F.col("_lang_pred") != UNKNOWN) & (F.col("_lang_score") >= least)).drop("_lang_pred", "_lang_score")
+    lang, score = fresh(docs, "_lang_pred", "_lang_score")
+    out = StructType([*schema.fields, StructField(lang, StringType()), StructField(score, DoubleType())])
+    named = docs.mapInArrow(_append(profiles, schema.names.index(text_col), lang, score), out)
+    return named.filter((F.col(lang) != UNKNOWN) & (F.col(score) >= least)).drop(lang, score)
