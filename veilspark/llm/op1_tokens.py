@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import heapq
 import json
+import re
+import sys
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -12,6 +15,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Regex, normalizers, pre_tokenizers
 
 from .op6_bpe import grouped
 
@@ -19,6 +23,8 @@ from .op6_bpe import grouped
 CHUNK = 256
 #: Texts are scanned in groups of about this many characters.
 GROUP_CHARS = 500_000
+#: Pieces with more bytes than this are merged with a heap, as a scan for each merge would take the square of their length.
+LONG_PIECE = 128
 #: Accepted pieces that a worker keeps with their annotated counts; beyond it starts anew, which costs time only.
 KEPT_PIECES = 700_000
 
@@ -67,13 +73,13 @@ def piece_transducer() -> tuple[np.ndarray, np.ndarray]:
 
 @lru_cache(maxsize=1)
 def classes() -> np.ndarray:
-    """The class of every code point."""
+    """The class of every code point, by the Unicode tables of the library's own patterns, which may be of another version than Python's."""
     every = [chr(c) if not 0xD800 <= c < 0xE000 else " " for c in range(0x110000)]
     table = np.full(0x110000, OTHER, np.uint8)
     joined = "".join(every)
-    for pattern, cls in ((r"\p{L}+", LETTER), (r"\p{N}+", DIGIT), (r"\p{White_Space}+", SPACE)):
-        for m in regex.finditer(pattern, joined):
-            table[m.start() : m.end()] = cls
+    for pattern, cls in ((r"\p{L}+", LETTER), (r"\p{N}+", DIGIT), (r"\s+", SPACE)):
+        for _, (start, end) in pre_tokenizers.Split(Regex(pattern), "removed", invert=True).pre_tokenize_str(joined):
+            table[start:end] = cls
     for chars, cls in (("'", QUOTE), ("stmd", S_T_M_D), ("r", R), ("v", V), ("l", L), ("e", E)):
         for c in chars:
             table[ord(c)] = cls
@@ -128,6 +134,8 @@ class WordTransducer:
     def compiled(self, piece: str) -> int:
         parts = [self.alphabet[b] for b in piece.encode("utf-8", "replace")]
         parts[-1] += self.end
+        if len(parts) > LONG_PIECE:
+            return self.merged(parts)
         get, none = self.rank.get, 1 << 30
         ranks = [get(p, none) for p in zip(parts, parts[1:])]
         while ranks:
@@ -143,6 +151,27 @@ class WordTransducer:
                 ranks[i - 1] = get((parts[i - 1], parts[i]), none)
         return len(parts)
 
+    def merged(self, parts: list[str | None]) -> int:
+        """The number of tokens that the merges leave of a long piece, by a heap of its neighbouring pairs."""
+        rank, n = self.rank, len(parts)
+        left, right = list(range(-1, n - 1)), [*range(1, n), -1]
+        heap = [(r, i, a, b) for i, (a, b) in enumerate(zip(parts, parts[1:])) if (r := rank.get((a, b))) is not None]
+        heapq.heapify(heap)
+        while heap:
+            _, i, a, b = heapq.heappop(heap)
+            j = right[i]
+            if j < 0 or parts[i] != a or parts[j] != b:
+                continue  # merged otherwise meanwhile
+            parts[i], parts[j] = a + b, None
+            right[i] = right[j]
+            if right[i] >= 0:
+                left[right[i]] = i
+            n -= 1
+            for k in (left[i], i):
+                if k >= 0 and right[k] >= 0 and (r := rank.get(pair := (parts[k], parts[right[k]]))) is not None:
+                    heapq.heappush(heap, (r, k, *pair))
+        return n
+
     def counts(self, pieces: list[str]) -> list[int]:
         final = self.final
         if new := set(pieces) - final.keys():
@@ -154,6 +183,20 @@ class WordTransducer:
         return list(map(final.__getitem__, pieces))
 
 
+@lru_cache(maxsize=1)
+def unassigned() -> re.Pattern:
+    """Finds code points that this Python's Unicode tables do not know, though the library's may."""
+    gaps, start = [], None
+    for c in range(0x80, sys.maxunicode + 2):
+        out = c <= sys.maxunicode and unicodedata.category(chr(c)) == "Cn"
+        if out and start is None:
+            start = c
+        elif not out and start is not None:
+            gaps.append(f"{chr(start)}-{chr(c - 1)}")
+            start = None
+    return re.compile("[" + "".join(gaps) + "]")
+
+
 class Counter:
     """Counts the tokens of texts as the library does for a lower-casing byte-level vocabulary with word ends."""
 
@@ -164,9 +207,13 @@ class Counter:
         self.special = regex.compile("|".join(regex.escape(a["content"]) for a in t["added_tokens"]) or r"(?!)")
         self.table = classes()
         self.chunk = chunk
+        self.unassigned = unassigned()
+        self.newer = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
 
     def normal(self, text: str) -> str:
         if not text.isascii():
+            if self.unassigned.search(text):
+                return self.newer.normalize_str(text)
             # capital sigma has one lower case here, wherever it stands
             text = unicodedata.normalize("NFC", text).replace("\u03a3", "\u03c3")
         return text.lower()
