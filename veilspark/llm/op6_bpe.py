@@ -138,16 +138,23 @@ class Codec:
         self.token = {r: t for t, r in self.rank.items()}
         self.kept = kept
         self.ids: dict[str, list[int]] = {}
+        #: Of each piece in ``ids``: the number of its ids, their decimal form and the bytes that they decode to.
+        self.n: dict[str, int] = {}
+        self.digits: dict[str, str] = {}
+        self.bytes: dict[str, bytes] = {}
 
     def pieces(self, texts: list[str]) -> list[list[str]]:
         """The pattern's matches of each text, every distinct one of them encoded in ``self.ids``."""
         out = [self.find(t) for t in texts]
         new = set().union(*out) - self.ids.keys()
         if len(self.ids) + len(new) > self.kept:
-            self.ids = {}
+            for known in (self.ids, self.n, self.digits, self.bytes):
+                known.clear()
             new = set().union(*out)
         coded = replay((w.encode("utf-8", "replace") for w in new), self.rank)
-        self.ids.update((w, coded[w.encode("utf-8", "replace")]) for w in new)
+        for w in new:
+            ids = self.ids[w] = coded[w.encode("utf-8", "replace")]
+            self.n[w], self.digits[w], self.bytes[w] = len(ids), " ".join(map(str, ids)), self.decode(ids)
         return out
 
     def encode(self, texts: list[str]) -> list[list[int]]:
@@ -166,20 +173,14 @@ def worker_codec(path: str, pattern: str) -> Codec:
 def _digests(path: str, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = worker_codec(path, pattern)
-        names: dict[str, str] = {}
         for b in batches:
             n, a, d = [], [], []
             for group in grouped(b.column(1).to_pylist()):
+                # ids, digits and bytes of a text are those of its pieces one after the other
                 for p in codec.pieces(group):
-                    ids = [i for w in p for i in codec.ids[w]]
-                    n.append(len(ids))
-                    if len(names) > codec.kept:
-                        names = {}
-                    for w in p:
-                        if w not in names:
-                            names[w] = " ".join(map(str, codec.ids[w]))
-                    a.append(hashlib.sha256(" ".join(map(names.__getitem__, p)).encode()).hexdigest())
-                    d.append(hashlib.sha256(codec.decode(ids)).hexdigest())
+                    n.append(sum(map(codec.n.__getitem__, p)))
+                    a.append(hashlib.sha256(" ".join(map(codec.digits.__getitem__, p)).encode()).hexdigest())
+                    d.append(hashlib.sha256(b"".join(map(codec.bytes.__getitem__, p))).hexdigest())
             yield pa.record_batch([b.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return run
