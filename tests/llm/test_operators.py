@@ -399,3 +399,66 @@ def test_vectors_in_a_crowd(spark):
     np.fill_diagonal(hit, False)
     assert hit[:5000].any(1).sum() >= 90 and hit[5000:, 5000:].sum() == 150 * 149
     assert {r["vec_id"]: r["n_links"] for r in got} == dict(enumerate(hit.sum(1).tolist()))
+
+
+def test_token_counts_of_rare_code_points_and_long_words():
+    path = P.path("word_bpe_49k.json")
+    lib, own = Tokenizer.from_file(path), op1_tokens.Counter(path)
+    every = [c for c in range(1, 0x110000, 7) if not 0xD800 <= c < 0xE000] + [0xA7CB, 0xA7DC, 0x1C89, 0x558, 0x209D, 0x18EC5]
+    texts = [f"a{chr(c)}b {chr(c)}! {chr(c)}1" for c in every]
+    assert own.count(texts) == [len(e.ids) for e in lib.encode_batch(texts, add_special_tokens=False)]
+    r = random.Random(8)
+    long = "".join(r.choice("abcdefgh") for _ in range(20_000))
+    assert own.count([long, "x" * 5_000]) == [len(lib.encode(t, add_special_tokens=False).ids) for t in (long, "x" * 5_000)]
+
+
+def test_surrogates_keep_formats_and_recur(spark):
+    a = "IBAN DE89370400440532013000 or GB82 WEST 1234 5698 7654 32, password=1234567890."
+    b = "Mr. John Smith called.\x01 Later Smith said John's late; Smithers and Johnny stay."
+    rows = [(1, a, None, None), (2, b, None, None), (3, "Smith is a word here.", None, None)]
+    d = frame(spark, rows).selectExpr("*", "doc_id AS _doc", "'x' AS _key", "7 AS n_entities")
+    out = op3_surrogates.replace(d, "secret")
+    got = {r["doc_id"]: r for r in out.collect()}
+    m = re.fullmatch(r"IBAN (DE\d{20}) or (GB\d\d [A-Z]{4} \d{4} \d{4} \d{4} \d\d), password=(\d{10})\.", got[1]["text"])
+    assert m and "89370400440532013000" not in m[1] and "WEST" not in m[2] and m[3] != "1234567890"
+    for x in (m[1], m[2].replace(" ", "")):
+        assert int("".join(str(int(c, 36)) for c in x[4:] + x[:4])) % 97 == 1
+    m = re.fullmatch(r"Mr\. (\w+) (\w+) called\.\x01 Later (\w+) said (\w+)'s late; Smithers and Johnny stay\.", got[2]["text"])
+    assert m and m[1] == m[4] and m[2] == m[3] and "John" != m[1] and "Smith" != m[2]
+    assert got[3]["text"] == "Smith is a word here." and got[3]["n_entities"] == 0
+    assert got[2]["_doc"] == 2 and got[2]["_key"] == "x" and got[2]["n_entities"] == 1 and set(out.columns) == set(d.columns)
+
+
+def test_line_dedup_of_many_equal_lines_and_clashing_names(spark):
+    text = "\n".join(["the same line"] * 100_000 + ["another line"])
+    d = frame(spark, [(1, text, None, None), (2, "another line\nnew here", None, None)]).selectExpr("*", "1 AS _doc", "2 AS _key", "3 AS _gone", "4 AS n_lines")
+    got = {r["doc_id"]: r for r in op8_lines.dedup(d).collect()}
+    assert got[1]["text"] == "the same line\nanother line" and got[1]["n_lines"] == 100_001 and got[1]["n_removed"] == 99_999
+    assert got[2]["text"] == "new here" and (got[2]["_doc"], got[2]["_key"], got[2]["_gone"]) == (1, 2, 3)
+
+
+def test_vectors_at_the_threshold(spark):
+    rows = []
+    for i, c in enumerate((0.98 - 1e-10, 0.98 + 1e-10, 0.9799999995)):
+        rows += [(2 * i, [1.0, 0.0], i), (2 * i + 1, [c, math.sqrt(1 - c * c)], i)]
+    d = spark.createDataFrame([*rows, (None, [1.0, 0.0], 1), (7, [1.0, 0.0], None), (8, [2.0, 0.0], 9), (8, [2.0, 0.0], 9)], "vec_id long, embedding array<double>, label int")
+    d = d.selectExpr("*", "'a' AS grp", "0 AS component_id")
+    got = sorted((r["vec_id"] if r["vec_id"] is not None else -1, r["n_links"], r["component_id"], r["kept"]) for r in op9_vectors.near_duplicates(d).collect())
+    assert got == [(-1, 0, None, False), (0, 0, 0, True), (1, 0, 1, True), (2, 1, 2, True), (3, 1, 2, False), (4, 0, 4, True), (5, 0, 5, True), (7, 0, 7, True), (8, 1, 8, True), (8, 1, 8, True)]
+
+
+def test_clashing_signatures_are_replaced():
+    first, h = np.array([0, 2, 5]), np.arange(1, 6, dtype=np.uint64)
+    sig, other = op2_jaccard._signatures(first, h, np.empty(0, np.uint64))
+    new, same = op2_jaccard._signatures(first, h, sig[:1])
+    assert new[0] != sig[0] and new[1] == sig[1] and (same == other).all() and new[0] & np.uint64(1) == 1
+
+
+def test_language_profiles_tell_scripts_apart(spark):
+    words = {"el": "και το να του της με που για από", "ru": "и в не на что он с как это по", "en": "the of and to in is that for it"}
+    r = random.Random(2)
+    rows = [(i, " ".join(r.choice(words[lang].split()) for _ in range(40)), lang, None) for i, lang in enumerate(list(words) * 40)]
+    d = frame(spark, rows)
+    got = op5_langid.identify(d, op5_langid.learn(d, lang_col=d.columns[2])).collect()
+    want = {i: lang for i, _, lang, _ in rows}
+    assert all(x["lang_pred"] == want[x["doc_id"]] and 0 <= x["score"] <= 1 for x in got)
