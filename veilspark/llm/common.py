@@ -18,6 +18,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Of a batch that is sent to a Python worker.
+BATCH_BYTES = str(8 << 20)
 _paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
@@ -49,6 +51,12 @@ def drop(*tables: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def lean(docs: DataFrame) -> DataFrame:
+    """``docs``, to be sent to Python workers in batches of a few MB, whatever its texts' lengths: several copies of one are held at a time."""
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return docs
+
+
 def release(spark: SparkSession) -> None:
     """Let go of finished plans between the phases of a long job: Spark deletes shuffle files only when their plans are collected as
     garbage, which a driver with memory to spare puts off while the disks of the executors fill."""

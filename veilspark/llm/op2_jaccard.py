@@ -10,14 +10,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytewords import Words, groups, mixed
-from .common import components, cut, drop, release
+from .common import components, cut, drop, lean, release
 
 WORDS = 5
 #: Two sets link when ``DEN * intersection >= NUM * union``.
 NUM, DEN = 75, 100
-GROUP_BYTES = 1_000_000
+GROUP_BYTES = 250_000
 #: Entries that a task gathers before it sends them on.
-FLUSH = 500_000
+FLUSH = 250_000
 #: Shingles that are put last in the common order at most: 0.5 MB, whatever the input.
 COMMON = 65_536
 #: Bits of a set's two bitmaps for each shingle, and at least.
@@ -119,7 +119,7 @@ def _scan(clashes: np.ndarray):
                 yield pa.record_batch(row, names)
                 held.append(h)
                 n_held += len(h)
-                if n_held >= 5 * FLUSH:
+                if n_held >= 4 * FLUSH:
                     yield frequent()
                     held, n_held = [], 0
         if held:
@@ -381,7 +381,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     equal sets do.  Empty table: no rows.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
-    text = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    text = lean(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     seen, sets, clashes = _scanned(text, id_type)
     of_docs = seen.filter("not common").select("doc_id", "n", "sig")
     often = seen.filter("common").groupBy("sig").agg(F.sum("n").alias("c")).orderBy(F.col("c").desc(), "sig").limit(COMMON).collect()

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import fresh
+from .common import fresh, lean
 
 #: Most frequent n-grams of a profile and of a document that are compared.
 TOP = 300
@@ -29,7 +29,7 @@ GROUP_CHARS = 400_000
 def symbols() -> np.ndarray:
     """Code point to symbol: 0 for what is no letter, else the lower-case code point."""
     every = "".join(chr(c) if not 0xD800 <= c < 0xE000 else " " for c in range(0x110000))
-    table = np.zeros(0x110000, np.int64)
+    table = np.zeros(0x110000, np.int32)
     for m in regex.finditer(r"\p{L}+", every):
         table[m.start() : m.end()] = [ord(c.lower()[0]) for c in m[0]]
     return table
@@ -38,7 +38,7 @@ def symbols() -> np.ndarray:
 def gram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
     """``(codes, counts)`` of the n-grams of 1 to 3 symbols within the words of a text, a word's edges counting as a symbol."""
     s = symbols()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
-    s = np.concatenate((np.zeros(1, np.int64), s, np.zeros(2, np.int64)))
+    s = np.concatenate((np.zeros(1, np.int64), s, np.zeros(2, np.int64)))  # 64 bits from here on
     if not s.any():
         return np.empty(0, np.int64), np.empty(0, np.int64)
     a, b, c = s[:-2], s[1:-1], s[2:]
@@ -73,7 +73,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = FIT_ROWS, top: int = TOP) -> dict[str, np.ndarray]:
     """The profile of each language: its most frequent codes in order, from about ``rows`` training documents a language at most."""
-    known = docs.filter(in_training(id_col)).select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
+    known = lean(docs).filter(in_training(id_col)).select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
     known = known.filter(F.col("lang").isNotNull())
     sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:

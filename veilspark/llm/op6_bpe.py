@@ -15,10 +15,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean
+
 #: Texts are taken in groups of about this many characters; longer ones make a group of their own.
 GROUP_CHARS = 2_000_000
 #: Encoded pieces that a worker keeps between groups; beyond that it starts anew, which costs time only.
-KEPT_PIECES = 400_000
+KEPT_PIECES = 300_000
 
 
 @lru_cache(maxsize=4)
@@ -131,56 +133,53 @@ def grouped(texts: Iterable[str | None], most: int = GROUP_CHARS) -> Iterator[li
 class Codec:
     """Encodes groups of texts; words that a worker has already replayed are kept between groups."""
 
-    def __init__(self, path: str, pattern: str, kept: int = KEPT_PIECES):
+    def __init__(self, path: str, pattern: str, kept: int = KEPT_PIECES, digests: bool = False):
         self.rank = ranks(path)
         # white space as Unicode has it: the library does not count U+001C to U+001F
         self.find = regex.compile(pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}")).findall
         self.token = {r: t for t, r in self.rank.items()}
-        self.kept = kept
-        self.ids: dict[str, list[int]] = {}
-        #: Of each piece in ``ids``: the number of its ids, their decimal form and the bytes that they decode to.
-        self.n: dict[str, int] = {}
-        self.digits: dict[str, str] = {}
-        self.bytes: dict[str, bytes] = {}
+        self.kept, self.digests = kept, digests
+        #: Of each piece: its ids, or what digests need of them, the number, the decimal form and the bytes that they decode to.
+        self.known: dict[str, list[int] | tuple[int, str, bytes]] = {}
 
     def pieces(self, texts: list[str]) -> list[list[str]]:
-        """The pattern's matches of each text, every distinct one of them encoded in ``self.ids``."""
+        """The pattern's matches of each text, every distinct one of them encoded in ``self.known``."""
         out = [self.find(t) for t in texts]
-        new = set().union(*out) - self.ids.keys()
-        if len(self.ids) + len(new) > self.kept:
-            for known in (self.ids, self.n, self.digits, self.bytes):
-                known.clear()
+        new = set().union(*out) - self.known.keys()
+        if len(self.known) + len(new) > self.kept:
+            self.known.clear()
             new = set().union(*out)
         coded = replay((w.encode("utf-8", "replace") for w in new), self.rank)
         for w in new:
-            ids = self.ids[w] = coded[w.encode("utf-8", "replace")]
-            self.n[w], self.digits[w], self.bytes[w] = len(ids), " ".join(map(str, ids)), self.decode(ids)
+            ids = coded[w.encode("utf-8", "replace")]
+            self.known[w] = (len(ids), " ".join(map(str, ids)), self.decode(ids)) if self.digests else ids
         return out
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        return [[i for w in p for i in self.ids[w]] for p in self.pieces(texts)]
+        return [[i for w in p for i in self.known[w]] for p in self.pieces(texts)]
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.token.__getitem__, ids))
 
 
 @lru_cache(maxsize=1)
-def worker_codec(path: str, pattern: str) -> Codec:
+def worker_codec(path: str, pattern: str, digests: bool = False) -> Codec:
     """One for each Python worker, which serves many tasks."""
-    return Codec(path, pattern)
+    return Codec(path, pattern, digests=digests)
 
 
 def _digests(path: str, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = worker_codec(path, pattern)
+        codec = worker_codec(path, pattern, True)
         for b in batches:
             n, a, d = [], [], []
             for group in grouped(b.column(1).to_pylist()):
                 # ids, digits and bytes of a text are those of its pieces one after the other
                 for p in codec.pieces(group):
-                    n.append(sum(map(codec.n.__getitem__, p)))
-                    a.append(hashlib.sha256(" ".join(map(codec.digits.__getitem__, p)).encode()).hexdigest())
-                    d.append(hashlib.sha256(b"".join(map(codec.bytes.__getitem__, p))).hexdigest())
+                    counts, digits, raw = zip(*map(codec.known.__getitem__, p)) if p else ((), (), ())
+                    n.append(sum(counts))
+                    a.append(hashlib.sha256(" ".join(digits).encode()).hexdigest())
+                    d.append(hashlib.sha256(b"".join(raw)).hexdigest())
             yield pa.record_batch([b.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return run
@@ -209,7 +208,7 @@ def _texts(path: str):
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, ids)``: the ids of every whole text; a null or empty text has none.  No shuffle: words do not depend on each other, so each task replays the merges over the distinct words of its own texts."""
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_ids(path, pattern), f"doc_id {kind}, ids array<int>")
+    return lean(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_ids(path, pattern), f"doc_id {kind}, ids array<int>")
 
 
 def decode(coded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -224,6 +223,6 @@ def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", te
     Null and empty texts: 0 tokens, digests of nothing.  Null ids stay null; repeated rows give repeated rows.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
+    return lean(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
         _digests(path, pattern), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
     )
