@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from veilspark.operators import admission, chunk, evaluate, models, observe, plan, policy, session
-from veilspark.plans.mask import mask, unmask
+from veilspark.plans.mask import cascade, mask, unmask
 from veilspark.sources import readers
 
 
@@ -156,3 +156,65 @@ def test_scheduler_replay(spark):
     jobs = spark.createDataFrame([(0, i, float(i), 350, 50.0, 2.0) for i in range(40)], "replica int, seq long, at_ms double, code_points int, quality_ms double, fast_ms double")
     got = [r["reason"] for r in models.replay_scheduler(jobs).orderBy("seq").collect()]
     assert got[0] == "normal" and "quality_budget" in got and got[-1] in ("hold", "quality_budget", "recovery_probe")
+
+
+def test_cascade_combines_rules_and_model_and_fails_closed(spark):
+    d = spark.createDataFrame([(1, "c", "пишите a@b.ru, Москва ждёт. Москва!"), (2, "c", "сбой BOOM тут a@b.ru"), (3, "c", None), (4, "none", "a@b.ru Москва"), (5, "c", "пусто")], "doc_id long, consumer_id string, text string")
+    words = models.lexicon_detector({"Москва": "city"})
+
+    def detector(text, gate):
+        if "BOOM" in text:
+            raise RuntimeError("no model")
+        return words(text, gate)
+
+    policy = spark.createDataFrame([("c", "city", 0.5), ("c", "email", 0.5)], "consumer_id string, kind string, min_confidence double")
+    got = {r["doc_id"]: (r["masked"], r["error"]) for r in cascade(d, detector, policy).collect()}
+    assert got == {1: ("пишите <EMAIL_1>, <CITY_1> ждёт. <CITY_1>!", None), 2: (None, "unavailable"), 3: (None, "no_text"), 4: ("a@b.ru Москва", None), 5: ("пусто", None)}
+
+
+def test_responses_are_joined_by_id(spark):
+    c = spark.createDataFrame([(1, 0), (1, 1), (2, 0), (3, 0)], "doc_id long, chunk_ix int")
+    r = spark.createDataFrame([(1, 0, "NONE", []), (1, 1, "MODEL_ERROR", None), (2, 0, "NONE", []), (2, 0, "NONE", [])], f"doc_id long, chunk_ix int, error_code string, entities {models.ENTITIES}")
+    got = {(x["doc_id"], x["chunk_ix"]): (x["failure"], x["entities"]) for x in models.joined_responses(c, r).collect()}
+    assert got == {(1, 0): (None, []), (1, 1): ("unavailable", None), (2, 0): ("unavailable", None), (3, 0): ("unavailable", None)}
+
+
+def test_windows_types_status_and_load(spark):
+    text = "a" * 890 + ". " + "b" * 30 + "\n" + "c" * 1000
+    got = [(r["s"], r["e"]) for r in models.character_windows(spark.createDataFrame([(1, text), (2, ""), (3, None)], "doc_id long, text string")).orderBy("window_ix").collect()]
+    assert got == [(0, 892), (892, 923), (923, 1823), (1823, len(text))]
+    e = spark.createDataFrame([([("B", 3, 4, 0.5), ("A", 3, 4, 0.5), ("C", 0, 1, 0.5)],)], f"e {models.ENTITIES}")
+    assert [x["type"] for x in e.select(models.enabled(F.col("e"), ("A", "B")).alias("e")).first()["e"]] == ["A", "B"]
+    codes = spark.createDataFrame([(x,) for x in ("OK", "UNAVAILABLE", "RESOURCE_EXHAUSTED", "DEADLINE_EXCEEDED", "INTERNAL")], "c string")
+    assert [r[0] for r in codes.select(models.wire_status(F.col("c"))).collect()] == ["ok", "unavailable", "unavailable", "timeout", "error"]
+    calls = spark.createDataFrame([("a", float(i), float(i), i % 4 != 0) for i in range(101)], "k string, at_s double, latency double, ok boolean")
+    s = evaluate.load_summary(calls, ["k"]).first()
+    assert (s["n"], s["p50"], s["p95"], round(s["success_rate"], 6), round(s["per_second"], 6)) == (101, 50.0, 95.0, round(75 / 101, 6), 1.01)
+    mix = {r["action"]: r["count"] for r in evaluate.load_mix(spark.range(20000).select(F.col("id").alias("seq"))).groupBy("action").count().collect()}
+    assert abs(mix["retry"] - 3000) < 300 and abs(mix["restore"] - 1000) < 200
+    low = evaluate.recall_guard(spark.createDataFrame([("x", 1, 3), ("y", 1, 1)], "type string, tp long, fn long")).collect()
+    assert [r["type"] for r in low] == ["x"]
+
+
+def test_limits_of_each_key_and_long_histories(spark):
+    r = spark.range(40000).select((F.col("id") % 3).alias("user_id"), F.col("id").alias("seq"), F.timestamp_seconds(F.col("id") / 100).alias("ts"))
+    limits = spark.createDataFrame([(0, 1.0, 5), (1, 2.0, 1)], "user_id long, rate double, burst int")
+    got = admission.limited(r, limits).groupBy("user_id").agg(F.count("*").alias("n"), F.count_if("allowed").alias("a")).orderBy("user_id").collect()
+    assert got[2]["a"] == got[2]["n"] and abs(got[0]["a"] - 404) <= 1 and 780 <= got[1]["a"] <= 801
+
+
+def test_places_in_both_directions(spark):
+    from veilspark.operators import normalize
+
+    texts = ["a  b\t\n c", "  x   y  ", "plain", "ж  é —   z"]
+    for t in texts:
+        kept = [i for i, c in enumerate(t) if not (i and c.isspace() and t[i - 1].isspace())]
+        d = normalize.with_normalized(spark.createDataFrame([(t,)], "text string"))
+        fwd = d.select(F.transform(F.sequence(F.lit(0), F.length("norm") - 1), lambda j: normalize.original_place(F.col("kept"), j))).first()[0]
+        assert fwd == kept
+        back = d.select(F.transform(F.sequence(F.lit(0), F.length("text") - 1), lambda j: normalize.normalized_place(F.col("kept"), j))).first()[0]
+        assert back == [min([j for j, k in enumerate(kept) if k >= i], default=len(kept)) for i in range(len(t))]
+        n = len(t.encode())
+        byte = spark.range(n + 1).select(normalize.place_of_byte(F.lit(t), F.col("id").cast("int"))).collect()
+        starts = [len(t[:k].encode()) for k in range(len(t))]
+        assert [b[0] for b in byte] == [sum(s < i for s in starts) for i in range(n + 1)]

@@ -5,33 +5,34 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.folds import ordered_fold
+
 
 def token_bucket(requests: DataFrame, rate: float, burst: int, key: str = "user_id") -> DataFrame:
-    """``(key, seq, allowed, delay)`` for ``(key, seq, ts)``: tokens come back at ``rate`` a second up to ``burst``; a denial says how long to wait.
+    """``(key, seq, allowed, delay)`` for ``(key, seq, ts)``: tokens come back at ``rate`` a second up to ``burst``; a denial says how long to wait."""
+    return _buckets(requests.select(key, "seq", "ts", F.lit(float(rate)).alias("rate"), F.lit(float(burst)).alias("burst")), key)
+
 
-    An ordered fold over each key's times.
-    """
-    times = requests.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col("ts").cast("timestamp").cast("double").alias("t"), "seq"))).alias("ts"))
-    start = F.struct(F.lit(float(burst)).alias("have"), F.lit(None).cast("double").alias("at"), F.array().cast("array<struct<seq:bigint,allowed:boolean,delay:double>>").alias("out"))
+def _buckets(requests: DataFrame, key: str) -> DataFrame:
+    kind = requests.schema[key].dataType.simpleString()
 
-    def step(a: Column, x: Column) -> Column:
-        have = F.least(F.lit(float(burst)), a["have"] + F.coalesce(x["t"] - a["at"], F.lit(0.0)) * rate)
-        ok = have >= 1
-        row = F.struct(x["seq"].cast("bigint").alias("seq"), ok.alias("allowed"), F.when(ok, F.lit(0.0)).otherwise((1 - have) / rate).alias("delay"))
-        return F.struct(F.when(ok, have - 1).otherwise(have).alias("have"), x["t"].alias("at"), F.array_append(a["out"], row).alias("out"))
+    def step(state, row):
+        have, at = state
+        _, seq, t, rate, burst = row
+        have = burst if at is None else min(burst, have + (t - at) * rate)
+        if have >= 1:
+            return (have - 1, t), (row[0], seq, True, 0.0)
+        return (have, t), (row[0], seq, False, (1 - have) / rate)
 
-    return times.select(key, F.inline(F.aggregate("ts", start, step, lambda a: a["out"])))
+    rows = requests.select(key, F.col("seq").cast("long").alias("seq"), F.col("ts").cast("timestamp").cast("double").alias("t"), "rate", "burst")
+    return ordered_fold(rows, [key], ["t", "seq"], lambda: (0.0, None), step, f"{key} {kind}, seq long, allowed boolean, delay double")
 
 
 def limited(requests: DataFrame, limits: DataFrame, key: str = "user_id") -> DataFrame:
     """As :func:`token_bucket` with ``limits(key, rate, burst)``; keys without a limit are always let through."""
-    known = requests.join(limits, key, "left")
-    free = known.filter("rate is null").select(key, "seq", F.lit(True).alias("allowed"), F.lit(0.0).alias("delay"))
-    out = free
-    for r in limits.select("rate", "burst").distinct().collect():  # a handful of settings, each one replay
-        some = known.filter((F.col("rate") == r["rate"]) & (F.col("burst") == r["burst"]))
-        out = out.union(token_bucket(some, r["rate"], r["burst"], key).select(key, "seq", "allowed", "delay"))
-    return out
+    known = requests.join(limits.select(key, F.col("rate").cast("double").alias("rate"), F.col("burst").cast("double").alias("burst")), key, "left")
+    free = known.filter("rate is null").select(key, F.col("seq").cast("long").alias("seq"), F.lit(True).alias("allowed"), F.lit(0.0).alias("delay"))
+    return free.union(_buckets(known.filter("rate is not null").select(key, "seq", "ts", "rate", "burst"), key))
 
 
 def retry_after(delay: Column) -> Column:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.folds import ordered_fold
+
 TARGET, MOST, OVERLAP = 300, 350, 50
 MAX_ITEMS, MAX_CODE_POINTS = 32, 11_200
 
@@ -25,7 +28,7 @@ def chunk_spans(text: str, target: int = TARGET, most: int = MOST, overlap: int
             yield start, n
             return
         top = min(start + most, n)
-        near = [p for p in places if max(start + 1, start + target - overlap) <= p <= top]
+        near = places[bisect_left(places, max(start + 1, start + target - overlap)) : bisect_right(places, top)]
         end = min(near, key=lambda p: (abs(p - start - target), p)) if near else top
         yield start, end
         if end >= n:
@@ -61,15 +64,12 @@ def batches(items: DataFrame, max_items: int = MAX_ITEMS, max_code_points: int =
     An ordered fold for each queue; one queue is one stream of requests, so its order is the work itself.
     """
 
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values(["at_ms", "seq"])
-        out, batch, n, size, opened = [], -1, 0, 0, None
-        for at, s in zip(p["at_ms"], p["size"]):
-            if opened is None or n + 1 > max_items or size + s > max_code_points or at - opened > wait_ms:
-                batch, n, size, opened = batch + 1, 0, 0, at
-            n, size = n + 1, size + s
-            out.append(batch)
-        return p.assign(batch=out)[["queue", "seq", "batch"]]
+    def step(state, row):
+        batch, n, size, opened = state
+        if opened is None or n + 1 > max_items or size + row.size_ > max_code_points or row.at_ms - opened > wait_ms:
+            batch, n, size, opened = batch + 1, 0, 0, row.at_ms
+        return (batch, n + 1, size + row.size_, opened), (row.queue, row.seq, batch)
 
     kind = items.schema["queue"].dataType.simpleString()
-    return items.groupBy("queue").applyInPandas(run, f"queue {kind}, seq long, batch int")
+    rows = items.select("queue", F.col("seq").cast("long").alias("seq"), F.col("at_ms").cast("double").alias("at_ms"), F.col("size").cast("long").alias("size_"))
+    return ordered_fold(rows, ["queue"], ["at_ms", "seq"], lambda: (-1, 0, 0, None), step, f"queue {kind}, seq long, batch int")

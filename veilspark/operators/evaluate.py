@@ -90,3 +90,22 @@ def histogram(rows: DataFrame, value: str, by: list[str], buckets: tuple[float,
 def disagreements(a: DataFrame, b: DataFrame) -> DataFrame:
     """Rows of either side that the other has not, with ``side``."""
     return a.exceptAll(b).withColumn("side", F.lit("left")).unionByName(b.exceptAll(a).withColumn("side", F.lit("right")))
+
+
+def recall_guard(counts: DataFrame, least: float = 0.5) -> DataFrame:
+    """The rows of ``counts(type, tp, fn)`` whose recall is below ``least``; any such row fails an evaluation run."""
+    return counts.filter(ratio(F.col("tp"), F.col("tp") + F.col("fn")) < least)
+
+
+def load_summary(calls: DataFrame, by: list[str]) -> DataFrame:
+    """``(by, n, success_rate, per_second, p50, p95, p99)`` of ``calls(by, at_s, latency, ok)``; a second's rate is over the span of the calls."""
+    p = percentiles(calls, "latency", by).drop("n")
+    span = F.max("at_s") - F.min("at_s")
+    rates = calls.groupBy(*by).agg(F.count("*").alias("n"), ratio(F.count_if("ok").cast("double"), F.count("*").cast("double")).alias("success_rate"), ratio(F.count("*").cast("double"), span.cast("double")).alias("per_second"))
+    return rates.join(p, by)
+
+
+def load_mix(calls: DataFrame, seed: int = 0, retry: float = 0.15, restore: float = 0.05) -> DataFrame:
+    """``calls(seq)`` with ``action``: a keyed draw of retries and restores among plain maskings, the same in every run."""
+    draw = F.pmod(F.xxhash64(F.lit(seed), "seq"), F.lit(10_000)) / 10_000
+    return calls.withColumn("action", F.when(draw < retry, "retry").when(draw < retry + restore, "restore").otherwise("mask"))

@@ -178,7 +178,7 @@ def _grown(text: str, s: int, e: int, like: Callable[[str], bool]) -> tuple[int,
 def repaired(text: str, spans: list[Span]) -> list[Span]:
     """Model spans snapped to whole values: documents with letters, numbers of a fitting length, spoken digits, dates, whole words.
 
-    No span is made that the model did not predict; a type's overlapping spans become one.
+    No span is made that the model did not predict; equal spans become one, and of loose ones of a type those that overlap too.
     """
     ids = [m.span() for m in _ID_WORD.finditer(text) if 1 <= sum(map(str.isalpha, m.group())) <= 4 and _digits(m.group()) >= 5]
     runs = [m.span() for m in _RUN.finditer(text)]
@@ -213,7 +213,13 @@ def repaired(text: str, spans: list[Span]) -> list[Span]:
             e = s + len(text[s:e].rstrip(" ,;:!?"))
         if s < e and not (kind in ("CVV", "PIN") and not min(NUMBER_LENGTHS[kind]) <= _digits(text[s:e]) <= max(NUMBER_LENGTHS[kind])):
             loose.append((kind, s, e))
-    return sorted(set(loose) | set(whole))
+    joined: list[Span] = []
+    for kind, s, e in sorted(set(loose)):
+        if joined and joined[-1][0] == kind and s < joined[-1][2]:
+            joined[-1] = (kind, joined[-1][1], max(e, joined[-1][2]))
+        else:
+            joined.append((kind, s, e))
+    return sorted(set(joined) | set(whole))
 
 
 def repair(docs: DataFrame) -> DataFrame:
@@ -280,3 +286,49 @@ def replay_scheduler(jobs: DataFrame, budget_ms: float = 60.0, hold_ms: float =
 
     kind = jobs.schema["replica"].dataType.simpleString()
     return jobs.groupBy("replica").applyInPandas(run, f"replica {kind}, seq long, route string, reason string")
+
+
+def enabled(entities: Column, types: tuple[str, ...]) -> Column:
+    """Entities of the types that are switched on, by place and then type."""
+    kept = F.filter(entities, lambda x: x["type"].isin(*types))
+    return F.array_sort(kept, lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).when(a["end"] != b["end"], a["end"] - b["end"]).when(a["type"] < b["type"], -1).when(a["type"] > b["type"], 1).otherwise(0))
+
+
+def joined_responses(chunks: DataFrame, responses: DataFrame) -> DataFrame:
+    """``chunks(doc_id, chunk_ix, ...)`` with ``entities`` and ``failure`` of their ``responses(doc_id, chunk_ix, error_code, entities)``.
+
+    A chunk whose response is missing, came more than once or has an error is ``unavailable``; it never passes as one without entities.
+    """
+    r = responses.groupBy("doc_id", "chunk_ix").agg(F.count("*").alias("_n"), F.first("error_code").alias("_code"), F.first("entities").alias("entities"))
+    failure = F.when(F.coalesce(F.col("_n"), F.lit(0)) != 1, "unavailable").when(F.col("_code").eqNullSafe("NONE") & F.col("entities").isNotNull(), F.lit(None)).otherwise("unavailable")
+    out = chunks.drop("entities", "error_code").join(r, ["doc_id", "chunk_ix"], "left").withColumn("failure", failure)
+    return out.withColumn("entities", F.when(F.col("failure").isNull(), F.col("entities"))).drop("_n", "_code")
+
+
+def wire_status(code: Column) -> Column:
+    """How a call's status counts: exhausted or unavailable servers are ``unavailable``, a deadline is ``timeout``, the rest an error."""
+    return F.when(code == "OK", "ok").when(code.isin("RESOURCE_EXHAUSTED", "UNAVAILABLE"), "unavailable").when(code == "DEADLINE_EXCEEDED", "timeout").otherwise("error")
+
+
+def character_windows(docs: DataFrame, most: int = 900) -> DataFrame:
+    """``(doc_id, window_ix, s, e)``: windows of at most ``most`` characters, cut after the last sentence, line or clause that ends in one.
+
+    Null and empty texts have none.
+    """
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            rows = []
+            for i, t in zip(p["doc_id"], p["text"]):
+                s = k = 0
+                while s < len(t):
+                    e = min(s + most, len(t))
+                    if e < len(t):
+                        ends = [at + len(mark) for mark in (". ", "\n", "; ") if (at := t.rfind(mark, s, e)) >= 0]
+                        e = max(ends, default=e)
+                    rows.append((i, k, s, e))
+                    s, k = e, k + 1
+            yield pd.DataFrame(rows, columns=["doc_id", "window_ix", "s", "e"])
+
+    return docs.select("doc_id", "text").filter("text <> ''").mapInPandas(run, f"doc_id {kind}, window_ix int, s int, e int")

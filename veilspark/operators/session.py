@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.folds import ordered_fold
 from .plan import detokenized
 from .policy import same_kinds
 
@@ -20,18 +18,19 @@ def with_epochs(requests: DataFrame, ttl_s: int = TTL_S) -> DataFrame:
     """``requests`` with ``epoch`` and ``opens``: which session of its payload id a request meets, and whether it makes it.
 
     A session lives ``ttl_s`` from its first request, whatever follows.  Which request starts the next one depends on the one before,
-    so the epochs of an id are found by an ordered fold over its own times; nothing but times and numbers is gathered.
+    so the epochs of an id are found by an ordered fold over its own times.
     """
     key = ["consumer_id", "payload_id"]
-    times = requests.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(F.col("ts").cast("double").alias("t"), "seq"))).alias("ts"))
-    start = F.struct(F.lit(None).cast("double").alias("from"), F.lit(0).alias("n"), F.array().cast("array<struct<seq:bigint,epoch:int,opens:boolean>>").alias("out"))
+    kinds = ", ".join(f"{k} {requests.schema[k].dataType.simpleString()}" for k in key)
 
-    def step(a: Column, x: Column) -> Column:
-        new = a["from"].isNull() | (x["t"] >= a["from"] + ttl_s)
-        n = (a["n"] + new.cast("int")).cast("int")
-        return F.struct(F.when(new, x["t"]).otherwise(a["from"]).alias("from"), n.alias("n"), F.array_append(a["out"], F.struct(x["seq"].cast("bigint").alias("seq"), n.alias("epoch"), new.alias("opens"))).alias("out"))
+    def step(state, row):
+        opened, n = state
+        new = opened is None or row.t >= opened + ttl_s
+        state = (row.t, n + 1) if new else state
+        return state, (row.consumer_id, row.payload_id, row.seq, state[1], new)
 
-    rows = times.select(*key, F.inline(F.aggregate("ts", start, step, lambda a: a["out"])))
+    times = requests.select(*key, F.col("seq").cast("long").alias("seq"), F.col("ts").cast("double").alias("t"))
+    rows = ordered_fold(times, key, ["t", "seq"], lambda: (None, 0), step, f"{kinds}, seq long, epoch int, opens boolean")
     return requests.join(rows, [*key, "seq"])
 
 
@@ -76,16 +75,13 @@ def admitted(sessions: DataFrame, capacity: int, ttl_s: int = TTL_S) -> DataFram
     partitioned by ``store`` where there are several.
     """
 
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        live: dict[str, float] = {}
-        out = []
-        for row in p.sort_values(["at", "seq"]).itertuples():
-            if len(live) >= capacity or live.get(row.payload_id, row.at + 1) <= row.at:
-                live = {k: t for k, t in live.items() if t > row.at}
-            ok = row.payload_id not in live and len(live) < capacity
-            if ok:
-                live[row.payload_id] = row.at + ttl_s
-            out.append(ok)
-        return p.sort_values(["at", "seq"]).assign(stored=out)[["store", "payload_id", "seq", "stored"]]
-
-    return sessions.groupBy("store").applyInPandas(run, "store long, payload_id string, seq long, stored boolean")
+    def step(live, row):
+        if len(live) >= capacity or live.get(row.payload_id, row.at + 1) <= row.at:
+            live = {k: t for k, t in live.items() if t > row.at}
+        ok = row.payload_id not in live and len(live) < capacity
+        if ok:
+            live[row.payload_id] = row.at + ttl_s
+        return live, (row.store, row.payload_id, row.seq, ok)
+
+    rows = sessions.select(F.col("store").cast("long").alias("store"), F.col("payload_id").cast("string").alias("payload_id"), F.col("seq").cast("long").alias("seq"), F.col("at").cast("double").alias("at"))
+    return ordered_fold(rows, ["store"], ["at", "seq"], dict, step, "store long, payload_id string, seq long, stored boolean")

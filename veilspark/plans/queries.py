@@ -124,8 +124,8 @@ FROM ({spans_sql(pattern)}) x JOIN (SELECT doc_id, {NORM_SQL} AS norm FROM ({TEX
 
 
 def gate_scores(spark, sf_dir):
-    d = texts(spark, sf_dir).filter("text is not null").withColumn("v", gate.gate_score(F.col("text")))
-    return d.select("doc_id", F.round("v", 6).alias("score"), gate.route(F.col("v")).alias("route"), F.size(gate.gate_signals(F.col("text"))).alias("n_signals"))
+    d = texts(spark, sf_dir).filter("text is not null").select("doc_id", F.explode(F.array(gate.judged(F.col("text")))).alias("g"))
+    return d.select("doc_id", F.round("g.score", 6).alias("score"), "g.route", F.size("g.signals").alias("n_signals"))
 
 
 def _gate_sql() -> str:
