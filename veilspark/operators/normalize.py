@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.patterns import DASHES, SPACES
+from ..functions.spans import let
 
 _RUN = f"[{SPACES}]+"
 
@@ -51,6 +52,12 @@ def original_span(kept: Column, s: Column, e: Column) -> tuple[Column, Column]:
     return original_place(kept, s), original_place(kept, e - 1) + 1
 
 
+def kept_positions(text: Column) -> Column:
+    """Where each normalized code point stands in ``text``; null where nothing was collapsed, so positions are the same."""
+    last = F.length(F.regexp_replace(text, _RUN, " ")) - 1
+    return let(removed_runs(text), lambda kept: F.when(kept.isNotNull(), F.transform(F.sequence(F.lit(0), last), lambda i: original_place(kept, i))))
+
+
 def normalized_place(kept: Column, i: Column) -> Column:
     """The first place of the normalized text that stands at original code point ``i`` or after it."""
     passed = F.filter(kept, lambda x: x["at"] + x["gone"] <= i)
