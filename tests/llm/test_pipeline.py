@@ -11,7 +11,7 @@ def test_stages(spark, tmp_path):
     docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
     columns = docs.columns
     for name, stage in cp.STAGES[:-1]:
-        docs = cp.written(stage(spark, docs, str(tmp_path)))
+        docs = cp.cut(stage(spark, docs, str(tmp_path)))
         assert docs.columns == columns, name
         ids = {r["doc_id"] for r in docs.select("doc_id").collect()}
         assert not ids & {90, 91, 92}
@@ -29,7 +29,7 @@ def test_null_and_repeated_ids(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
     for name, stage in cp.STAGES[:3]:
-        docs = cp.written(stage(spark, docs, str(tmp_path)))
+        docs = cp.cut(stage(spark, docs, str(tmp_path)))
         assert sorted(docs.collect(), key=str) == sorted(spark.read.parquet(str(tmp_path / "documents.parquet")).collect(), key=str), name
     again = docs.union(docs.filter("doc_id < 4 or doc_id is null"))
     for given in (docs, again):
