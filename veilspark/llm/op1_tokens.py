@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import heapq
 import json
-import re
-import sys
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -184,17 +182,9 @@ class WordTransducer:
 
 
 @lru_cache(maxsize=1)
-def unassigned() -> re.Pattern:
-    """Finds code points that this Python's Unicode tables do not know, though the library's may."""
-    gaps, start = [], None
-    for c in range(0x80, sys.maxunicode + 2):
-        out = c <= sys.maxunicode and unicodedata.category(chr(c)) == "Cn"
-        if out and start is None:
-            start = c
-        elif not out and start is not None:
-            gaps.append(f"{chr(start)}-{chr(c - 1)}")
-            start = None
-    return re.compile("[" + "".join(gaps) + "]")
+def unassigned() -> np.ndarray:
+    """By code point, whether this Python's Unicode tables do not know it, though the library's may."""
+    return np.fromiter((unicodedata.category(chr(c)) == "Cn" for c in range(0x110000)), bool, 0x110000)
 
 
 class Counter:
@@ -212,7 +202,7 @@ class Counter:
 
     def normal(self, text: str) -> str:
         if not text.isascii():
-            if self.unassigned.search(text):
+            if self.unassigned[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)].any():
                 return self.newer.normalize_str(text)
             # capital sigma has one lower case here, wherever it stands
             text = unicodedata.normalize("NFC", text).replace("\u03a3", "\u03c3")
