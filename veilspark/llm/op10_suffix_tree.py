@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import checkpointed, cut
 
 #: Longest context in bytes.
 DEPTH = 5
@@ -119,9 +119,9 @@ def tree(spark: SparkSession, training: DataFrame, depth: int = DEPTH, gain: flo
     All counts are over all training texts.  A context is kept if its next-symbol distribution diverges from its suffix's by
     ``gain`` nats over its occurrences, or if a longer one that is kept ends in it.
     """
-    level = {depth: cut(training.mapInArrow(_grams, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")))}
+    level = {depth: checkpointed(training.mapInArrow(_grams, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")))}
     for k in range(depth - 1, -1, -1):
-        level[k] = cut(level[k + 1].groupBy(F.col("code").bitwiseAND(masks(k)[0]).alias("code")).agg(F.sum("n").alias("n")))
+        level[k] = checkpointed(level[k + 1].groupBy(F.col("code").bitwiseAND(masks(k)[0]).alias("code")).agg(F.sum("n").alias("n")))
     sums = {k: level[k].groupBy(F.col("code").bitwiseAND(masks(k)[1]).alias("ctx")).agg(F.sum("n").alias("total")) for k in level}
     gains = {}
     for k in range(1, depth + 1):
@@ -131,7 +131,7 @@ def tree(spark: SparkSession, training: DataFrame, depth: int = DEPTH, gain: flo
         t = t.join(sums[k].filter(F.col("total") >= least), "ctx").join(up, "up").withColumn("ctx_up", F.col("ctx").bitwiseAND(masks(k - 1)[1]))
         t = t.join(sums[k - 1].select(F.col("ctx").alias("ctx_up"), F.col("total").alias("total_up")), "ctx_up")
         saved = F.col("n") * F.log(F.col("n") / F.col("total") * F.col("total_up") / F.col("n_up"))
-        gains[k] = cut(t.groupBy("ctx").agg(F.sum(saved).alias("gain"), F.count("*").alias("edges")))
+        gains[k] = checkpointed(t.groupBy("ctx").agg(F.sum(saved).alias("gain"), F.count("*").alias("edges")))
     while True:
         kept, n = {0: None}, 0
         for k in range(depth, 0, -1):
