@@ -357,17 +357,70 @@ def test_suffix_tree_scores(spark, docs, empty):
     assert op10_suffix_tree.score(empty).count() == 0
 
 
+def suffix_tree_by_hand(train, text, least, gain):
+    """The natural log of ``text``'s bytes in the tree of ``train``, from plain dicts of contexts, token by token."""
+    depth, prior = op10_suffix_tree.DEPTH, op10_suffix_tree.PRIOR
+    after = {}
+    for t in train:
+        t = op10_suffix_tree.sequence(op10_suffix_tree.words_of(t))
+        for i in range(depth, len(t)):
+            for k in range(depth + 1):
+                after.setdefault(t[i - k : i], Counter())[t[i]] += 1
+    kept = {b""}
+    for c, n in after.items():
+        total, up = sum(n.values()), after[c[1:]]
+        if c and total >= least and sum(x * math.log(x / total * sum(up.values()) / up[s]) for s, x in n.items()) >= gain:
+            kept |= {c[i:] for i in range(len(c))}
+
+    def chance(symbol, context):
+        p = 1 / 256
+        for k in range(depth + 1):
+            c = context[len(context) - k :]
+            if c in kept and c in after:
+                p = (after[c][symbol] + prior * p) / (sum(after[c].values()) + prior)
+        return p
+
+    words = op10_suffix_tree.words_of(text)
+    t, at, out = op10_suffix_tree.sequence(words), depth, []
+    for n in [*(len(w) + 1 for w in words), 1]:
+        out.append(sum(math.log(chance(t[i], t[i - depth : i])) for i in range(at, at + n)))
+        at += n
+    return out, kept
+
+
+def test_suffix_tree_by_hand(spark, tmp_path):
+    """Scores are those of a tree made of plain dicts, for one chunk and for several, from files and from memory."""
+    words = ["abab", "abba", "cdcd", "Été", "zz9"]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(0, 60)))) for i in range(60)] + [(70, None), (71, "unseen Words"), (None, "abab unseen")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    training = [t for i, t in rows if i is not None and zlib.crc32(str(i).encode()) % 7 != 2]
+    tokens = Counter(x for t in training for x in [*op10_suffix_tree.words_of(t), None])
+    n = sum(tokens.values())
+    want = {}
+    for i, t in rows:
+        logs, kept = suffix_tree_by_hand(training, t, 15, 5.0)
+        share = op10_suffix_tree.TREE_SHARE
+        want[i] = sum(math.log10(share * math.exp(p) + (1 - share) * tokens[w] / n) for p, w in zip(logs, [*op10_suffix_tree.words_of(t), None], strict=True))
+    assert max(map(len, kept)) >= 2 and any(len(c) < op10_suffix_tree.DEPTH for c in kept)
+    d.repartition(3).write.parquet(str(tmp_path / "docs"))
+    for given in (d, d.repartition(2), spark.read.parquet(str(tmp_path / "docs"))):
+        got = {r["doc_id"]: r["score"] for r in op10_suffix_tree.score(given, least=15, gain=5.0).collect()}
+        assert got.keys() == want.keys()
+        for i in want:
+            assert math.isclose(got[i], want[i], rel_tol=1e-5), i
+
+
 def test_suffix_tree_is_a_distribution(spark):
-    """The chances of all 256 next symbols after any context add up to one, and longer contexts are kept where they tell more."""
-    d = spark.createDataFrame([(" ".join(rng.choice(["abab", "abba", "cdcd"]) for _ in range(50)),) for _ in range(30)], "text string")
-    model = op10_suffix_tree.tree(spark, d)
-    assert max(k for k, m in model.items() if len(m[2])) >= 2
+    """The chances of all 256 next symbols after any context add up to one, seen or not."""
+    texts = [" ".join(rng.choice(["abab", "abba", "cdcd"]) for _ in range(50)) for _ in range(30)]
+    counted = Counter(op10_suffix_tree.codes([op10_suffix_tree.sequence(op10_suffix_tree.words_of(t)) for t in texts]).tolist())
     for context in (b"\n\n\n\n\n", b"b aba", b"zzzzz"):
         tail = 0
         for c in reversed(context):
             tail = (tail << 8) | c
-        every = np.array([(s << 40) | tail for s in range(256)], np.int64)
-        assert math.isclose(np.exp(op10_suffix_tree.log_chances(model, every)).sum(), 1.0, rel_tol=1e-9)
+        every = {(s << 40) | tail for s in range(256)}
+        t = op10_suffix_tree.tree(spark.createDataFrame([(c, counted[c]) for c in every | counted.keys()], "code long, n long")).collect()
+        assert math.isclose(sum(math.exp(r["logp"]) for r in t if r["code"] in every), 1.0, rel_tol=1e-9)
 
 
 def test_line_dedup_leaves_no_repeat(spark):
