@@ -63,6 +63,17 @@ def lean(docs: DataFrame) -> DataFrame:
     return docs
 
 
+#: Sent to a task by a shuffle, where rows are a few numbers each.
+TASK_BYTES = 16 << 20
+
+
+def fine(spark: SparkSession) -> None:
+    """Have partitions of at most ``TASK_BYTES`` made of what a shuffle sends: small rows take several times that in a task's sort."""
+    name = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name)) > TASK_BYTES:
+        spark.conf.set(name, str(TASK_BYTES))
+
+
 def release(spark: SparkSession) -> None:
     """Let go of finished plans between the phases of a long job: Spark deletes shuffle files only when their plans are collected as
     garbage, which a driver with memory to spare puts off while the disks of the executors fill."""

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, cut, release
+from .common import checkpointed, cut, fine, lean, release
 
 #: Longest context in bytes.
 DEPTH = 5
@@ -20,7 +20,7 @@ LEAST, GAIN = 20, 10.0
 PRIOR = 6.0
 #: Weight of the tree in a token's chance; the rest is the token's share of the training tokens.
 TREE_SHARE = 0.5
-GROUP_BYTES = 2_000_000
+GROUP_BYTES = 1_000_000
 #: Texts are scored in chunks of about this many bytes of their file.
 CHUNK_BYTES = 16 << 20
 LOWER = bytes(range(256)).translate(bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"))
@@ -99,7 +99,7 @@ def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk, train = key
         own = held.setdefault(chunk, [])
         own.append((c, n if train else np.zeros_like(n)))
-        if len(own) > 1 and sum(len(c) for c, _ in own) > max(3_000_000, 2 * len(own[0][0])):
+        if len(own) > 1 and sum(len(c) for c, _ in own) > max(1_500_000, 2 * len(own[0][0])):
             own[:] = [_merged(own)]
 
     for b in batches:
@@ -204,9 +204,10 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **set
     """
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
-    d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    d = lean(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     if not docs.filter(F.input_file_name() == "").isEmpty():
         d = cut(d)
+    fine(spark)
     d = d.withColumn("chunk", chunk_of("doc_id", "text")).withColumn("train", in_training("doc_id"))
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False))
     n_docs = d.filter("train").count()
@@ -223,12 +224,17 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **set
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
     def run(texts: pa.Table, facts: pa.Table) -> pa.Table:
-        is_word = facts.column("word").is_valid()
-        vocabulary, coded = facts.filter(is_word), facts.filter(facts.column("code").is_valid()).sort_by("code")
-        counts = dict(zip(vocabulary.column("word").to_pylist(), vocabulary.column("c").to_pylist(), strict=True))
+        counts: dict[bytes | None, int] = {}
+        for b in facts.select(["word", "c"]).filter(facts.column("word").is_valid()).to_batches(50_000):
+            counts.update(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
         counts[None] = n_docs
-        known = coded.column("code").to_numpy(), coded.column("logp").to_numpy().astype(np.float64)
-        got = [x for g in _grouped(map(words_of, texts.column("text").to_pylist())) for x in score_words(known, counts, g, n_train, n_words)]
+        coded = facts.select(["code", "logp"]).filter(facts.column("code").is_valid())
+        code, logp = coded.column("code").to_numpy(), coded.column("logp").to_numpy()
+        order = np.argsort(code)
+        known = code[order], logp[order].astype(np.float64)
+        del coded, code, logp, order
+        parts = (words_of(t) for b in texts.select(["text"]).to_batches(1_000) for t in b.column(0).to_pylist())
+        got = [x for g in _grouped(parts) for x in score_words(known, counts, g, n_train, n_words)]
         n, known_words, base, best = zip(*got) if got else ((), (), (), ())
         return pa.table(
             [texts.column("doc_id"), texts.column("held_out"), pa.array(n, pa.int64()), pa.array(known_words, pa.int64()), pa.array([n_train] * len(n), pa.int64()), pa.array(base, pa.float64()), pa.array(best, pa.float64())],
