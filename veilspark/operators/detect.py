@@ -1,12 +1,14 @@
 """Rules: candidates of all recognizers, their context, and the entities that are left.
 
-Everything of a text stays in its row: candidates are an array, scoring maps it, resolving folds it.  No step shuffles.
+Everything of a text stays in its row, and no step shuffles: texts are scanned in Arrow batches.  The column functions, in which
+candidates are an array, scoring maps it and resolving folds it, serve single steps and recognizers of a caller's own.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,16 +16,13 @@ from ..functions import patterns as P
 from ..functions import words as W
 from ..functions.patterns import any_of
 from ..functions.spans import cut_text, inner_spans, let, spans
-from .normalize import byte_offset, original_span, with_normalized
-from .text_rules import FOUND, recognizer
+from .normalize import byte_offset, normalized, original_span, with_normalized
+from .scan import BOOST, CARD_BOOST, CARD_NEAR, MIN_SCORE, SUPPRESS, WINDOW, Scanner
+from .text_rules import FOUND, recognizer, walking
 from .validators import valid_card, valid_dmy, valid_inn, valid_iso
 
-# Scores and reach of the context.
-MIN_SCORE = 0.5
-BOOST, SUPPRESS = 0.35, 0.6
-WINDOW = 20
-CARD_NEAR, CARD_BOOST = 60, 0.4
 DIGIT = "[0-9]"
+ENTITIES = "array<struct<type:string,s:int,e:int,text:string,score:double>>"
 
 
 def _found(at: Column, kind: str, score: float, sources: tuple[str, ...], reg: int) -> Column:
@@ -182,11 +181,34 @@ def resolved(cands: Column, min_score: float = MIN_SCORE) -> Column:
     return F.aggregate(keyed, kept, step)
 
 
+def _scanned(rules, min_score: float):
+    """The column function from text and normalized text to entities."""
+    scanner = Scanner(POSITIVE, NEGATIVE, (25, W.ISSUE_DATE_KEYWORDS), (40, W.DRIVER_LICENSE_KEYWORDS), rules)
+
+    @F.arrow_udf(ENTITIES)
+    def run(texts: pa.Array, norms: pa.Array) -> pa.Array:
+        ends, none, flat = [0], [], []
+        for text, norm in zip(texts.to_pylist(), norms.to_pylist()):
+            none.append(norm is None)
+            if norm is not None:
+                flat += scanner.entities(text, norm, min_score)
+            ends.append(len(flat))
+        kinds = (("type", pa.string()), ("s", pa.int32()), ("e", pa.int32()), ("text", pa.string()), ("score", pa.float64()))
+        columns = zip(*flat) if flat else [()] * len(kinds)
+        values = pa.StructArray.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, kinds)], [n for n, _ in kinds])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values, mask=pa.array(none, pa.bool_()))
+
+    return run
+
+
 def detect(df: DataFrame, find=None, min_score: float = MIN_SCORE) -> DataFrame:
     """``df`` with ``entities``: ``array<struct<type, s, e, text, score>>`` at code points of ``text``, in order.
 
-    Null text: null.  A text in which nothing is found: an empty array.
+    Null text: null.  A text in which nothing is found: an empty array.  ``find``, a column function for the five walking types
+    in place of the usual one, is combined with the patterns by column functions, which take many times as long.
     """
+    if find is None:
+        return df.withColumn("entities", _scanned(walking(), min_score)(F.col("text"), normalized(F.col("text"))))
     d = candidates(df, find)
     d = d.withColumn("cands", let(F.transform("cands", lambda c: scored(F.col("norm"), c)), near_card))
 
