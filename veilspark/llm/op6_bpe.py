@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 import heapq
 from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 import pyarrow as pa
@@ -19,7 +21,7 @@ from .common import lean
 
 #: Texts are taken in groups of about this many characters; longer ones make a group of their own.
 GROUP_CHARS = 2_000_000
-#: Encoded pieces that a worker keeps between groups; beyond that it starts anew, which costs time only.
+#: Encoded pieces that a worker keeps between groups; beyond that it starts anew with those of the group at hand, which costs time only.
 KEPT_PIECES = 300_000
 
 
@@ -130,6 +132,18 @@ def grouped(texts: Iterable[str | None], most: int = GROUP_CHARS) -> Iterator[li
         yield group
 
 
+@contextmanager
+def uncollected() -> Iterator[None]:
+    """Without the search for cycles: a group's many small lists and tuples have none, and would be gone through again and again."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 class Codec:
     """Encodes groups of texts; words that a worker has already replayed are kept between groups."""
 
@@ -145,10 +159,11 @@ class Codec:
     def pieces(self, texts: list[str]) -> list[list[str]]:
         """The pattern's matches of each text, every distinct one of them encoded in ``self.known``."""
         out = [self.find(t) for t in texts]
-        new = set().union(*out) - self.known.keys()
+        used = set().union(*out)
+        new = used - self.known.keys()
         if len(self.known) + len(new) > self.kept:
-            self.known.clear()
-            new = set().union(*out)
+            # those of the texts at hand stay, which most of the frequent ones are among
+            self.known = {w: self.known[w] for w in used - new}
         coded = replay((w.encode("utf-8", "replace") for w in new), self.rank)
         for w in new:
             ids = coded[w.encode("utf-8", "replace")]
@@ -175,11 +190,12 @@ def _digests(path: str, pattern: str):
             n, a, d = [], [], []
             for group in grouped(b.column(1).to_pylist()):
                 # ids, digits and bytes of a text are those of its pieces one after the other
-                for p in codec.pieces(group):
-                    counts, digits, raw = zip(*map(codec.known.__getitem__, p)) if p else ((), (), ())
-                    n.append(sum(counts))
-                    a.append(hashlib.sha256(" ".join(digits).encode()).hexdigest())
-                    d.append(hashlib.sha256(b"".join(raw)).hexdigest())
+                with uncollected():
+                    for p in codec.pieces(group):
+                        counts, digits, raw = zip(*map(codec.known.__getitem__, p)) if p else ((), (), ())
+                        n.append(sum(counts))
+                        a.append(hashlib.sha256(" ".join(digits).encode()).hexdigest())
+                        d.append(hashlib.sha256(b"".join(raw)).hexdigest())
             yield pa.record_batch([b.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return run
