@@ -6,7 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, cut, drop
@@ -22,6 +23,8 @@ ROUNDS, ENLARGED = 4, 3
 AUDITED, WANTED = 2048, 0.995
 #: Vectors of a block in exact comparisons, and in those of doubtful vectors with all.
 BLOCK, WIDE = 1024, 2048
+#: Neighbours whose vectors a local join multiplies at once: 10 MB for 64 dimensions.
+AT_ONCE = 20_000
 
 
 def _matrix(column) -> np.ndarray:
@@ -64,8 +67,42 @@ def forest(known: np.ndarray, u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray,
     return known[root[moved]], known[moved]
 
 
-def _edges(u: np.ndarray, v: np.ndarray, s: np.ndarray) -> pa.Table:
-    return pa.table({"u": np.concatenate((u, v)), "v": np.concatenate((v, u)), "s": np.concatenate((s, s))})
+def _binary(x: np.ndarray) -> pa.Array:
+    """Rows as their bytes, which travel between the JVM and Python as they are."""
+    at = np.arange(len(x) + 1, dtype=np.int32) * (8 * x.shape[1])
+    return pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(x))])
+
+
+def _rows(column) -> np.ndarray:
+    """Rows of equal length from their bytes."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(len(column), -1)
+
+
+def _listed(u: np.ndarray, v: np.ndarray, s: np.ndarray, most: int) -> pa.Table:
+    """``(u, v, s)``, a row for each ``u`` with the lists of its ``most`` nearest and their cosines, the nearest first."""
+    order = np.lexsort((-s, v, u))
+    u, v, s = u[order], v[order], s[order]
+    once = np.ones(len(u), bool)
+    once[1:] = (u[1:] != u[:-1]) | (v[1:] != v[:-1])
+    u, v, s = u[once], v[once], s[once]
+    order = np.lexsort((v, -s, u))
+    u, v, s = u[order], v[order], s[order]
+    first = np.flatnonzero(np.append(True, u[1:] != u[:-1])) if len(u) else np.empty(0, np.int64)
+    size = np.diff(np.append(first, len(u)))
+    near = np.arange(len(u)) - np.repeat(first, size) < most
+    at = np.append(0, np.cumsum(np.minimum(size, most))).astype(np.int32)
+    lists = [pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(c[near])) for c in (v, s)]
+    return pa.table({"u": u[first], "v": lists[0], "s": lists[1]})
+
+
+def _flat(t) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(u, v, s)`` of each place of the lists."""
+    v, s = (c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in (t.column("v"), t.column("s")))
+    size = v.value_lengths().to_numpy(zero_copy_only=False)
+    return np.repeat(t.column("u").to_numpy(), size), v.flatten().to_numpy(), s.flatten().to_numpy()
+
+
+LISTS = "u long, v array<long>, s array<double>"
 
 
 def representatives(vectors: DataFrame, id_col: str, vector_col: str, label_col: str) -> DataFrame:
@@ -90,30 +127,45 @@ def _cells(tables: int, seed: int):
             for kind in np.unique(kinds).tolist():
                 part = b.take(pa.array(np.flatnonzero(kinds == kind)))
                 x, bits = _matrix(part.column(2)), kind // 1_000_000
+                packed = _binary(x)
                 for t in range(tables):
                     planes = np.random.default_rng([seed, t]).standard_normal((x.shape[1], 40))[:, :bits]
                     code = ((x @ planes) > 0) @ (1 << np.arange(bits, dtype=np.int64))
                     n = len(part)
-                    yield pa.record_batch([part.column(0), part.column(1), part.column(2), pa.array([t] * n, pa.int32()), pa.array(code, pa.int64())], ["id", "grp", "x", "t", "cell"])
+                    yield pa.record_batch([part.column(0), part.column(1), packed, pa.array([t] * n, pa.int32()), pa.array(code, pa.int64())], ["id", "grp", "x", "t", "cell"])
 
     return run
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``(v, x)`` with the vectors as bytes."""
+    for b in batches:
+        dims = b.column(1).value_lengths().to_numpy(zero_copy_only=False)
+        for d in np.unique(dims):
+            part = b.take(pa.array(np.flatnonzero(dims == d)))
+            yield pa.record_batch([part.column(0), _binary(_matrix(part.column(1)))], ["v", "x"])
+
+
 def _within(k: int, threshold: float):
-    """A cell's nearest neighbours, and as ties (``s`` null) a spanning forest of its links, which a crowd has more of than rows."""
+    """A cell's nearest neighbours, and as ties (``s`` null) a spanning forest of its links, which a crowd has more of than rows.
+
+    Each vector lists its own: who is not among the ``k`` nearest of its cell is not among them in all.
+    """
 
     def run(t: pa.Table) -> pa.Table:
-        ids, x = t.column("id").to_numpy(), _matrix(t.column("x"))
+        ids, x = t.column("id").to_numpy(), _rows(t.column("x"))
         s = similar(x, x, threshold)
         np.fill_diagonal(s, -2)
         n = min(k, len(ids) - 1)
         if n < 1:
-            return pa.table({"u": ids[:0], "v": ids[:0], "s": np.empty(0)})
-        i = np.repeat(np.arange(len(ids)), n)
-        j = np.argpartition(-s, n - 1, axis=1)[:, :n].ravel()
-        near = _edges(ids[i], ids[j], s[i, j])
+            return _listed(ids[:0], ids[:0], np.empty(0), k)
+        j = np.argpartition(-s, n - 1, axis=1)[:, :n]
+        at = pa.array(np.arange(len(ids) + 1, dtype=np.int32) * n)
+        lists = [pa.ListArray.from_arrays(at, pa.array(c.ravel())) for c in (ids[j], np.take_along_axis(s, j, 1))]
+        near = pa.table({"u": ids, "v": lists[0], "s": lists[1]})
         a, b = forest(ids, *np.nonzero(s >= threshold))
-        return pa.concat_tables([near, pa.table({"u": a, "v": b, "s": pa.nulls(len(a), pa.float64())})])
+        one = pa.ListArray.from_arrays(pa.array(np.arange(len(a) + 1), pa.int32()), pa.array(b))
+        return pa.concat_tables([near, pa.table({"u": a, "v": one, "s": pa.nulls(len(a), pa.list_(pa.float64()))})])
 
     return run
 
@@ -122,29 +174,50 @@ def _local_join(k: int, threshold: float):
     """Pairs of one vector's neighbours that are closer than what either of them lists so far."""
 
     def run(t: pa.Table) -> pa.Table:
-        u, v, worst = (t.column(c).to_numpy() for c in ("u", "v", "worst"))
-        x = _matrix(t.column("x"))
-        order = np.argsort(u, kind="stable")
-        u, v, worst, x = u[order], v[order], worst[order], x[order]
-        first = np.flatnonzero(np.diff(u, prepend=u[:1] - 1))
-        out = [[], [], []]
-        for a, z in zip(first, np.append(first[1:], len(u))):
-            s = similar(x[a:z], x[a:z], threshold)
-            i, j = np.triu_indices(z - a, 1)
-            s = s[i, j]
-            ok = (s > np.minimum(worst[a:z][i], worst[a:z][j])) & (v[a:z][i] != v[a:z][j])
-            for o, c in zip(out, (v[a:z][i[ok]], v[a:z][j[ok]], s[ok])):
-                o.append(c)
-        return _edges(*(np.concatenate(o) for o in out)) if first.size else _edges(v[:0], v[:0], np.empty(0))
+        every_u, every_v, every_worst = (t.column(c).to_numpy() for c in ("u", "v", "worst"))
+        column = t.column("x").combine_chunks()
+        bytes_of = np.array(pc.binary_length(column))
+        order = np.lexsort((every_v, every_u, bytes_of))
+        first = np.flatnonzero(np.append(True, np.diff(every_u[order]) != 0)) if len(order) else order
+        size = np.diff(np.append(first, len(order)))
+        out = [[every_v[:0]], [every_v[:0]], [np.empty(0)]]
+        # all with as many neighbours of one dimension at once
+        kinds = np.stack((bytes_of[order[first]], size), 1) if len(first) else np.empty((0, 2), int)
+        for kind in np.unique(kinds, axis=0):
+            m, starts = int(kind[1]), first[(kinds == kind).all(1)]
+            i, j = np.triu_indices(m, 1)
+            for some in np.array_split(starts, -(-len(starts) * m // AT_ONCE)):
+                at = order[some[:, None] + np.arange(m)]
+                v, worst = every_v[at], every_worst[at]
+                x = _rows(column.take(pa.array(at.ravel()))).reshape(len(at), m, -1)
+                unit = x / np.sqrt((x * x).sum(-1))[..., None]
+                s = (unit @ unit.swapaxes(1, 2))[:, i, j]
+                g, p = np.nonzero(np.abs(s - threshold) < 1e-9)
+                s[g, p] = pair_cosines(x[g, i[p]], x[g, j[p]])
+                ok = (s > np.minimum(worst[:, i], worst[:, j])) & (v[:, i] != v[:, j])
+                for o, c in zip(out, (v[:, i][ok], v[:, j][ok], s[ok])):
+                    o.append(c)
+        a, b, s = map(np.concatenate, out)
+        return _listed(np.concatenate((a, b)), np.concatenate((b, a)), np.concatenate((s, s)), 2 * k)
 
     return run
 
 
-def _kept(edges: DataFrame, k: int) -> DataFrame:
-    """Each vector's ``2k`` nearest."""
-    e = edges.groupBy("u", "v").agg(F.max("s").alias("s"))
-    at = F.row_number().over(Window.partitionBy("u").orderBy(F.col("s").desc(), "v"))
-    return e.withColumn("at", at).filter(F.col("at") <= 2 * k)
+def _both_ways(k: int):
+    """Lists, and of each batch those of the vectors that are listed there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            u, v, s = _flat(b)
+            yield from pa.concat_tables([_listed(u, v, s, k), _listed(v, u, s, k)]).to_batches()
+
+    return run
+
+
+def _kept(lists: DataFrame, k: int, spread: int) -> DataFrame:
+    """Each vector's ``2k`` nearest of all its lists."""
+    by_vector = lists.withColumn("p", F.pmod(F.xxhash64("u"), F.lit(spread))).groupBy("p")
+    return by_vector.applyInArrow(lambda t: _listed(*_flat(t), 2 * k), LISTS)
 
 
 def neighbour_graph(reps: DataFrame, k: int, tables: int, seed: int, threshold: float = THRESHOLD, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
@@ -152,38 +225,39 @@ def neighbour_graph(reps: DataFrame, k: int, tables: int, seed: int, threshold:
     sizes = reps.groupBy("grp").agg(F.count("*").alias("n"))
     bits = F.least(F.lit(40), F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / 48)))).cast("long")
     cells = reps.select("id", "grp", "x").join(sizes.select("grp", bits.alias("bits")), "grp").select("id", "grp", "x", "bits")
-    cells = cells.mapInArrow(_cells(tables, seed), "id long, grp string, x array<double>, t int, cell long")
+    cells = cells.mapInArrow(_cells(tables, seed), "id long, grp string, x binary, t int, cell long")
     crowd = cells.groupBy("grp", "t", "cell").agg(F.ceil(F.count("*") / CELL).cast("int").alias("parts"))
     # a crowded cell is split at random: its vectors are close to each other whichever they meet
     crowd = crowd.filter("parts > 1")
     dealt = cells.join(crowd, ["grp", "t", "cell"], "left").withColumn("part", F.pmod(F.xxhash64("id", "t"), F.coalesce("parts", F.lit(1))))
-    edges = cut(dealt.groupBy("grp", "t", "cell", "part").applyInArrow(_within(2 * k, threshold), "u long, v long, s double"))
-    ties = cut(edges.filter("s is null").select("u", "v").distinct())
-    graph = cut(_kept(edges.filter("s is not null"), k))
-    drop(edges)
+    edges = cut(dealt.groupBy("grp", "t", "cell", "part").applyInArrow(_within(2 * k, threshold), LISTS))
+    ties = cut(edges.filter("s is null").select("u", F.col("v")[0].alias("v")).distinct())
     n = reps.count()
-    vectors = reps.select(F.col("id").alias("v"), "x")
     spread = max(1, n * k // 20_000)
+    graph = cut(_kept(edges.filter("s is not null"), k, spread))
+    drop(edges)
+    vectors = cut(reps.select(F.col("id").alias("v"), "x").mapInArrow(_packed, "v long, x binary"))
     for _ in range(rounds):
-        worst = graph.filter(F.col("at") <= k).groupBy("u").agg(F.min("s").alias("worst"), F.count("*").alias("c"))
-        worst = worst.select(F.col("u").alias("v"), F.when(F.col("c") < k, F.lit(-2.0)).otherwise(F.col("worst")).alias("worst"))
+        worst = graph.select(F.col("u").alias("v"), F.when(F.size("s") >= k, F.get("s", F.lit(k - 1))).alias("worst"))
+        known = vectors.join(worst, "v", "left").withColumn("worst", F.coalesce("worst", F.lit(-2.0)))
         # lists go both ways; the ones that meet at a vector are its 2k closest, as many as a join's square allows
-        both = graph.select("u", "v", "s").union(graph.select(F.col("v").alias("u"), F.col("u").alias("v"), "s")).groupBy("u", "v").agg(F.max("s").alias("s"))
-        near = both.withColumn("r", F.row_number().over(Window.partitionBy("u").orderBy(F.col("s").desc(), "v"))).filter(F.col("r") <= 2 * k)
-        rows = near.select("u", "v").join(worst, "v", "left").withColumn("worst", F.coalesce("worst", F.lit(-2.0))).join(vectors, "v")
-        new = rows.withColumn("p", F.pmod(F.xxhash64("u"), F.lit(spread))).groupBy("p").applyInArrow(_local_join(k, threshold), "u long, v long, s double")
-        after = cut(_kept(graph.select("u", "v", "s").union(new), k))
-        changed = after.join(graph.select("u", "v"), ["u", "v"], "left_anti").count()
+        near = _kept(graph.mapInArrow(_both_ways(2 * k), LISTS), k, spread)
+        rows = near.select("u", F.explode("v").alias("v")).join(known, "v")
+        new = rows.withColumn("p", F.pmod(F.xxhash64("u"), F.lit(spread))).groupBy("p").applyInArrow(_local_join(k, threshold), LISTS)
+        after = cut(_kept(graph.union(new), k, spread))
+        others = F.size(F.array_except("v", F.coalesce("w", F.array().cast("array<long>"))))
+        changed = after.join(graph.select("u", F.col("v").alias("w")), "u", "left").agg(F.sum(others)).first()[0] or 0
         drop(graph)
         graph = after
         if changed <= n * k // 1000:
             break
-    links = graph.filter(F.col("s") >= threshold)
+    near = graph.select("u", F.explode(F.arrays_zip("v", "s")).alias("x")).select("u", "x.v", "x.s")
+    links = near.filter(F.col("s") >= threshold)
     split = cells.select("grp", "t", "cell", "id").join(crowd, ["grp", "t", "cell"]).select("id")
     full = links.groupBy(F.col("u").alias("id")).agg(F.count("*").alias("c")).filter(F.col("c") >= 2 * k).select("id")
     doubtful = cut(split.union(full).distinct())
     found = cut(links.filter("u < v").select(F.col("u").alias("a"), F.col("v").alias("b")).union(ties.select(F.col("u").alias("a"), F.col("v").alias("b"))))
-    drop(graph, ties)
+    drop(graph, ties, vectors)
     return found, doubtful
 
 
