@@ -40,7 +40,7 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 def sequence(words: list[bytes]) -> bytes:
-    return PAD + b"".join([w + b" " for w in words]) + END
+    return PAD + (b" ".join(words) + b" " if words else b"") + END
 
 
 def codes(texts: list[bytes]) -> np.ndarray:
@@ -50,11 +50,12 @@ def codes(texts: list[bytes]) -> np.ndarray:
     use = np.ones(len(data), bool)
     for i in range(DEPTH):
         use[first + i] = False
-    at = np.flatnonzero(use)
-    code = data[at].astype(np.int64)
+    # whole arrays are shifted, and the padding's codes left out at the end: cheaper than picking bytes by their places
+    code = data[DEPTH:].astype(np.int64)
     for i in range(1, DEPTH + 1):
-        code = (code << 8) | data[at - i]
-    return code
+        code <<= 8
+        code |= data[DEPTH - i : len(data) - i]
+    return code[use[DEPTH:]]
 
 
 def chunk_of(id_col: str, text_col: str) -> Column:
@@ -166,13 +167,22 @@ def tree(grams: DataFrame, depth: int = DEPTH, gain: float = GAIN, least: int =
     return chance.select("code", F.log("p").alias("logp"))
 
 
+def logs_of(known: tuple[np.ndarray, np.ndarray], code: np.ndarray) -> np.ndarray:
+    """The log of every code, all of which are ``known``.  They are hashed, and only different ones sorted and looked up."""
+    encoded = pa.array(code).dictionary_encode()
+    different = encoded.dictionary.to_numpy()
+    order = np.argsort(different)
+    logs = np.empty(len(different))
+    logs[order] = known[1][np.searchsorted(known[0], different[order])]
+    return logs[encoded.indices.to_numpy()]
+
+
 def score_words(known: tuple[np.ndarray, np.ndarray], counts, words: list[list[bytes]], n_train: int, n_words: int) -> list[tuple[int, int, float, float]]:
     """``(tokens, known tokens, base score, score)`` of texts given as words.
 
     ``known`` has the texts' codes, sorted, and their logs; ``counts`` the words' and, under None, the end's count.
     """
-    code, at = np.unique(codes([sequence(w) for w in words]), return_inverse=True)
-    logs = known[1][np.searchsorted(known[0], code)][at]
+    logs = logs_of(known, codes([sequence(w) for w in words]))
     lengths = np.array([n for w in words for n in (*map(len, w), 0)]) + 1
     firsts = np.concatenate(([0], np.cumsum(lengths)))[:-1]
     by_token = np.add.reduceat(logs, firsts)
