@@ -24,6 +24,8 @@ COMMON = 65_536
 BITS, FEW_BITS, LEAST_BITS = 4, 0.5, 64
 #: Sets of a block of a tile at most, and shingles that these have together.
 BLOCK, BLOCK_SHINGLES = 4096, 4_000_000
+#: Sets of a crowd, up to which its tiles go to one task.
+CROWD_ROWS = 4_000
 #: Sets that a centre meets in one place at most.
 MEMBERS = 256
 #: Sets from which on a shingle is crowded, and centres to which the sets of such are tied before they are compared in tiles.
@@ -265,10 +267,15 @@ def _exact(t: pa.Table) -> pa.Table:
 
 def _tiles_of(t: pa.Table) -> pa.Table:
     """The tiles of a bucket, one after the other; each has two blocks of rows at most."""
-    tile = t.column("tile").to_numpy()
+    cells = t.column("cells").combine_chunks()
+    # a set is there once for all its tiles
+    of = np.repeat(np.arange(len(t)), np.diff(cells.offsets.to_numpy()))
+    tile, side = (x.to_numpy() for x in cells.flatten().flatten())
     order = np.argsort(tile, kind="stable")
-    side, n, label, sig = (t.column(c).to_numpy()[order] for c in ("side", "n", "label", "sig"))
-    bits = t.column("bits").take(pa.array(order)).to_pylist()
+    of, side = of[order], side[order]
+    n, label, sig = (t.column(c).to_numpy()[of] for c in ("n", "label", "sig"))
+    bitmaps = t.column("bits").to_pylist()
+    bits = [bitmaps[i] for i in of]
     first = np.flatnonzero(np.diff(tile[order], prepend=tile[order][:1] - 1))
     found = []
     for a, z in zip(first, np.append(first[1:], len(n))):
@@ -440,7 +447,8 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 def _few(open_rows: DataFrame) -> DataFrame:
     """``(a, b, slack, x, y)``: pairs whose sizes allow a link, from shingles that few sets have."""
-    sets = open_rows.groupBy("h").agg(F.array_sort(F.collect_list(F.struct("sig", "label", "n"))).alias("s"))
+    # dealt first: rows travel as they are, not as lists of one
+    sets = open_rows.repartition("h").groupBy("h").agg(F.array_sort(F.collect_list(F.struct("sig", "label", "n"))).alias("s"))
     pairs = sets.select(F.explode("s").alias("p"), "s").select("p", F.explode("s").alias("q")).filter("p.sig < q.sig and p.label <> q.label")
     pairs = pairs.filter(f"{DEN} * least(p.n, q.n) >= {NUM} * greatest(p.n, q.n)")
     return pairs.select(F.col("p.sig").alias("a"), F.col("q.sig").alias("b"), F.lit(1.0).alias("slack"), F.expr("least(p.label, q.label)").alias("x"), F.expr("greatest(p.label, q.label)").alias("y"))
@@ -459,9 +467,11 @@ def _tiles(open_rows: DataFrame, sets: DataFrame) -> DataFrame:
     # blocks of large sets have fewer of them
     block = F.greatest(F.lit(64), F.least(F.lit(BLOCK), F.lit(BLOCK_SHINGLES) / F.pow(F.lit(4 / 3), "band")))
     count = lambda c: F.ceil(F.sum(c.cast("int")) / block).cast("int")
-    blocks = cut(rows.groupBy("crowd", "band").agg(count(F.col("out")).alias("o"), count(~F.col("out")).alias("c")))
+    blocks = cut(rows.groupBy("crowd", "band").agg(count(F.col("out")).alias("o"), count(~F.col("out")).alias("c"), F.count_if("out").alias("n_out"), F.count("*").alias("n_all")))
+    # the cells of a crowd that a task can hold go to one, where each set is sent once for all its cells
+    small = blocks.groupBy("crowd").agg((F.sum("n_all") <= CROWD_ROWS).alias("small"))
     at = lambda by, name: blocks.select("crowd", (F.col("band") + by).alias("band"), F.col("o").alias(f"o{name}"), F.col("c").alias(f"c{name}"))
-    rows = rows.join(blocks, ["crowd", "band"]).join(at(-1, "_up"), ["crowd", "band"], "left").join(at(1, "_down"), ["crowd", "band"], "left")
+    rows = rows.join(blocks.join(small, "crowd"), ["crowd", "band"]).join(at(-1, "_up"), ["crowd", "band"], "left").join(at(1, "_down"), ["crowd", "band"], "left")
     blk = F.pmod(F.xxhash64("sig"), F.when(F.col("out"), F.col("o")).otherwise(F.col("c"))).cast("int")
     rows = rows.withColumn("blk", blk)
     none = F.array().cast("array<struct<inner:int,band:int,i:int,other:int,j:int,side:int>>")
@@ -487,9 +497,16 @@ def _tiles(open_rows: DataFrame, sets: DataFrame) -> DataFrame:
         every("o_up", lambda x: cell(1, b + 1, x, b, k, one)),
         every("o_down", lambda x: cell(1, b - 1, x, b, k, one)),
     )
-    cells = rows.select("crowd", "sig", "label", "n", F.inline(F.when(F.col("out"), outer).otherwise(inner)))
-    cells = cells.select("sig", "label", "n", "side", F.xxhash64("crowd", "inner", "band", "i", "other", "j").alias("tile"))
-    # whole tiles are dealt to as many buckets as the rows need, so a task holds a bounded number of rows
-    buckets = max(16, cells.count() // 10_000)
-    cells = cells.join(sets.select("sig", "bits"), "sig")
-    return cells.groupBy(F.pmod("tile", F.lit(buckets)).alias("bucket")).applyInArrow(_tiles_of, "a long, b long, slack double, x long, y long")
+    cells = F.when(F.col("out"), outer).otherwise(inner)
+    # a set alone on both sides of a tile has nobody to meet there
+    cells = F.filter(cells, lambda x: (x["side"] != 2) | (F.col("n_out") > 1))
+    tile = lambda x: F.xxhash64("crowd", x["inner"], x["band"], x["i"], x["other"], x["j"])
+    cells = F.transform(cells, lambda x: F.struct(tile(x).alias("tile"), x["side"].alias("side")))
+    cells = rows.select("crowd", "small", "sig", "label", "n", cells.alias("cells")).filter(F.size("cells") > 0)
+    # small crowds and whole tiles of others are dealt to as many buckets as the rows need, so a task holds a bounded number of rows
+    buckets = max(16, (cells.agg(F.sum(F.size("cells"))).first()[0] or 0) // 10_000)
+    own = F.pmod(F.xxhash64("crowd"), F.lit(buckets))
+    apart = cells.filter("not small").select("sig", "label", "n", F.explode("cells").alias("cell"))
+    apart = apart.select(F.pmod("cell.tile", F.lit(buckets)).alias("bucket"), "sig", "label", "n", F.array("cell").alias("cells"))
+    cells = cells.filter("small").select(own.alias("bucket"), "sig", "label", "n", "cells").unionByName(apart).join(sets.select("sig", "bits"), "sig")
+    return cells.groupBy("bucket").applyInArrow(_tiles_of, "a long, b long, slack double, x long, y long")
