@@ -86,7 +86,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
     Text whose lines are all removed becomes empty.  Every later occurrence of a line, or run of whole lines, of ``least_chars``
     characters or more goes, and so do later copies of whole texts with fewer.
     """
-    arrays = cut(line_arrays(docs, id_col, text_col))
+    arrays = line_arrays(docs, id_col, text_col)
     doc, key, gone = fresh(docs, "_doc", "_key", "_gone")
     runs = repeated_runs(arrays, least_chars).select(F.col("doc").alias(doc), F.col("key").alias(key), F.col("gone").alias(gone))
     text = F.col(text_col).cast("string")
