@@ -355,6 +355,11 @@ def _tied(rows: DataFrame, centers: int) -> DataFrame:
     return cut(tied.groupBy("sig", "turn").agg(F.max(F.struct("k", "c")).alias("m")).select(F.col("sig").alias("a"), F.col("m.c").alias("b")).distinct())
 
 
+def _stars(label: DataFrame) -> DataFrame:
+    """``(a, b)``: the components found so far as links, each node's with its smallest."""
+    return label.select(F.col("node").alias("a"), F.col("component").alias("b"))
+
+
 def _scanned(text: DataFrame, id_type: str) -> tuple[DataFrame, DataFrame, np.ndarray]:
     """``(seen, sets, clashes)``: a row for each document and common shingle, one for each different set, and the signatures to avoid.
 
@@ -408,7 +413,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     crowd = cut(crowd.join(label, F.col("sig") == F.col("node"), "left").select("h", "sig", F.coalesce("component", "sig").alias("label")))
     sizes = crowd.groupBy("label").agg(F.countDistinct("sig").alias("size"))
     again = _tied(crowd.join(sizes, "label").select("h", "sig", "label", "size"), CENTERS)
-    edges = edges.union(_linked(docs, sets, again, clashes, id_col, text_col))
+    edges = _stars(label).union(_linked(docs, sets, again, clashes, id_col, text_col))
     label = components(edges)
     labelled = cut(shared.join(label, shared["sig"] == label["node"], "left").select("h", "sig", F.coalesce("component", "sig").alias("label")))
     drop(shared, crowd, best, again)
@@ -423,10 +428,12 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     open_rows = cut(open_rows.select("h", "k", "sig", "label", "n", F.coalesce("size", F.lit(1)).alias("size")))
     drop(labelled)
     # the tightest pair of every two components first: most of those that belong together are one component after that
-    between = cut(_few(open_rows.filter(F.col("k") <= CROWD)).unionByName(_tiles(open_rows.filter(F.col("k") > CROWD), sets)).groupBy("a", "b").agg(F.min("slack").alias("slack"), F.min("x").alias("x"), F.min("y").alias("y")))
+    tiles = _tiles(open_rows.filter(F.col("k") > CROWD), sets)
+    between = cut(_few(open_rows.filter(F.col("k") <= CROWD)).unionByName(tiles).groupBy("a", "b").agg(F.min("slack").alias("slack"), F.min("x").alias("x"), F.min("y").alias("y")))
+    drop(tiles)
     release(docs.sparkSession)
     first = cut(between.groupBy("x", "y").agg(F.min(F.struct("slack", "a", "b")).alias("m")).select("m.a", "m.b"))
-    edges = edges.union(_linked(docs, sets, first, clashes, id_col, text_col))
+    edges = _stars(label).union(_linked(docs, sets, first, clashes, id_col, text_col))
     label = components(edges)
     now = lambda x: label.select(F.col("node").alias(x), F.col("component").alias(f"n_{x}"))
     rest = between.join(first, ["a", "b"], "left_anti").join(now("a"), "a", "left").join(now("b"), "b", "left")
@@ -434,7 +441,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     drop(open_rows, between, first)
     release(docs.sparkSession)
     if not rest.isEmpty():
-        edges = edges.union(_linked(docs, sets, rest, clashes, id_col, text_col))
+        edges = _stars(label).union(_linked(docs, sets, rest, clashes, id_col, text_col))
         label = components(edges)
     roots = label.join(sets, label["node"] == sets["sig"]).select("component", "sig", "doc")
     least = roots.groupBy("component").agg(F.min("doc").alias("least"))
@@ -464,6 +471,8 @@ def _tiles(open_rows: DataFrame, sets: DataFrame) -> DataFrame:
     # sizes of linked sets differ by 4/3 at most: they are in the same band or in neighbouring ones
     band = F.floor(F.log("n") / float(np.log(4 / 3)) + 1e-9).cast("int")
     rows = open_rows.join(largest, "h").select("crowd", "sig", "label", "n", band.alias("band"), (F.col("label") != F.col("crowd")).alias("out")).distinct()
+    # in steps, each a table: one plan of all would be planned anew after each of its shuffles, with some of them done three times
+    met = rows = cut(rows)
     # blocks of large sets have fewer of them
     block = F.greatest(F.lit(64), F.least(F.lit(BLOCK), F.lit(BLOCK_SHINGLES) / F.pow(F.lit(4 / 3), "band")))
     count = lambda c: F.ceil(F.sum(c.cast("int")) / block).cast("int")
@@ -502,11 +511,15 @@ def _tiles(open_rows: DataFrame, sets: DataFrame) -> DataFrame:
     cells = F.filter(cells, lambda x: (x["side"] != 2) | (F.col("n_out") > 1))
     tile = lambda x: F.xxhash64("crowd", x["inner"], x["band"], x["i"], x["other"], x["j"])
     cells = F.transform(cells, lambda x: F.struct(tile(x).alias("tile"), x["side"].alias("side")))
-    cells = rows.select("crowd", "small", "sig", "label", "n", cells.alias("cells")).filter(F.size("cells") > 0)
+    cells = every_cell = cut(rows.select("crowd", "small", "sig", "label", "n", cells.alias("cells")).filter(F.size("cells") > 0))
+    drop(met, blocks)
+    release(sets.sparkSession)
     # small crowds and whole tiles of others are dealt to as many buckets as the rows need, so a task holds a bounded number of rows
     buckets = max(16, (cells.agg(F.sum(F.size("cells"))).first()[0] or 0) // 10_000)
     own = F.pmod(F.xxhash64("crowd"), F.lit(buckets))
     apart = cells.filter("not small").select("sig", "label", "n", F.explode("cells").alias("cell"))
     apart = apart.select(F.pmod("cell.tile", F.lit(buckets)).alias("bucket"), "sig", "label", "n", F.array("cell").alias("cells"))
     cells = cells.filter("small").select(own.alias("bucket"), "sig", "label", "n", "cells").unionByName(apart).join(sets.select("sig", "bits"), "sig")
-    return cells.groupBy("bucket").applyInArrow(_tiles_of, "a long, b long, slack double, x long, y long")
+    out = cut(cells.groupBy("bucket").applyInArrow(_tiles_of, "a long, b long, slack double, x long, y long"))
+    drop(every_cell)
+    return out
